@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .near_dedup import op3_near_dedup
 from .substring_dedup import op4_substring_dedup
 from .suffix_dedup import op5_suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op3_near_dedup": op3_near_dedup,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_suffix_dedup": op5_suffix_dedup,
     }
