@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_decontamination
 from .near_dedup import op3_near_dedup
+from .packing import op10_packing
 from .substring_dedup import op4_substring_dedup
 from .suffix_dedup import op5_suffix_dedup
 
@@ -12,6 +14,8 @@ def queries() -> dict:
         "op3_near_dedup": op3_near_dedup,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op8_decontamination": op8_decontamination,
+        "op10_packing": op10_packing,
     }
 
 

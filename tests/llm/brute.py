@@ -66,3 +66,31 @@ def near_components(rows, k=5, percent=75):
                 p, q = find(a), find(b)
                 parent[max(p, q)] = min(p, q)
     return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower_words(text):
+    return ALNUM_WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def contaminated(rows, items, window=10):
+    """{doc_id: (n_words, n_hit, n_items, items_sha256)}"""
+    grams = {}
+    for name, t in items:
+        w = lower_words(t)
+        for i in range(max(1, len(w) - window + 1)) if w else ():
+            grams.setdefault(tuple(w[i : i + window]), set()).add(str(name))
+    sizes = {len(g) for g in grams}
+    out = {}
+    for k, t in rows:
+        w, names = lower_words(t), set()
+        hit = [False] * len(w)
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if (g := tuple(w[i : i + n])) in grams:
+                    names |= grams[g]
+                    hit[i : i + n] = [True] * n
+        out[k] = (len(w), sum(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest())
+    return out
