@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontaminate import op8_decontamination
+from .language_id import op2_language_id
+from .line_crf import op6_line_crf
 from .near_dedup import op3_near_dedup
 from .packing import op10_packing
 from .substring_dedup import op4_substring_dedup
@@ -11,9 +13,11 @@ from .suffix_dedup import op5_suffix_dedup
 
 def queries() -> dict:
     return {
+        "op2_language_id": op2_language_id,
         "op3_near_dedup": op3_near_dedup,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_line_crf": op6_line_crf,
         "op8_decontamination": op8_decontamination,
         "op10_packing": op10_packing,
     }
