@@ -7,12 +7,14 @@ from .language_id import op2_language_id
 from .line_crf import op6_line_crf
 from .near_dedup import op3_near_dedup
 from .packing import op10_packing
+from .quality_rules import OP1_SQL, op1_quality_rules
 from .substring_dedup import op4_substring_dedup
 from .suffix_dedup import op5_suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op2_language_id": op2_language_id,
         "op3_near_dedup": op3_near_dedup,
         "op4_substring_dedup": op4_substring_dedup,
@@ -24,4 +26,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_quality_rules": OP1_SQL,
+    }
