@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op8_decontamination
 from .language_id import op2_language_id
+from .license_scan import OP7_SQL, op7_license_scan
 from .line_crf import op6_line_crf
 from .near_dedup import op3_near_dedup
 from .packing import op10_packing
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op4_substring_dedup": op4_substring_dedup,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_line_crf": op6_line_crf,
+        "op7_license_scan": op7_license_scan,
         "op8_decontamination": op8_decontamination,
         "op10_packing": op10_packing,
     }
@@ -28,4 +30,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": OP1_SQL,
+        "op7_license_scan": OP7_SQL,
     }
