@@ -11,6 +11,7 @@ from .packing import op10_packing
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .substring_dedup import op4_substring_dedup
 from .suffix_dedup import op5_suffix_dedup
+from .token_counts import op9_token_counts
 
 
 def queries() -> dict:
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op6_line_crf": op6_line_crf,
         "op7_license_scan": op7_license_scan,
         "op8_decontamination": op8_decontamination,
+        "op9_token_counts": op9_token_counts,
         "op10_packing": op10_packing,
     }
 
