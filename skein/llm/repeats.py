@@ -107,20 +107,20 @@ def find_runs(docs: DataFrame, tokens: Tokens) -> DataFrame:
 
 
 def classify(runs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h, ord, n, copies, first, branches): the runs whose anchor occurs twice or more.
+    """(h, ord, n, copies, first, classes): the runs whose anchor occurs twice or more.
 
-    copies: runs in its class; first: the least ord of its class; branches: the
-    anchor has several classes. Counts are pre-aggregated, and the joins are
+    copies: runs in its class; first: the least ord of its class; classes: the
+    number of classes of its anchor, which branches if there are several. Counts
+    are pre-aggregated and written before they are joined, so that the joins are
     plain shuffle joins, whose hot partitions adaptive execution can split.
     """
-    often = runs.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    often = scratch.write(runs.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "often")
     again = scratch.write(runs.join(often, "h"), "again")
-    classes = again.groupBy("h", "span").agg(F.count("*").alias("copies"), F.min("ord").alias("first"))
-    classes = scratch.write(classes, "classes")
-    many = classes.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", F.lit(True).alias("branches"))
-    known = classes.join(many, "h", "left")
-    out = scratch.write(again.join(known, ["h", "span"]).select("h", "ord", "n", "copies", "first", F.coalesce("branches", F.lit(False)).alias("branches")), "classified")
-    scratch.drop(again, classes)
+    classes = scratch.write(again.groupBy("h", "span").agg(F.count("*").alias("copies"), F.min("ord").alias("first")), "classes")
+    many = scratch.write(classes.groupBy("h").agg(F.count("*").alias("classes")).filter("classes > 1"), "many")
+    known = scratch.write(classes.join(many, "h", "left").withColumn("classes", F.coalesce("classes", F.lit(1))), "known")
+    out = scratch.write(again.join(known, ["h", "span"]).select("h", "ord", "n", "copies", "first", "classes"), "classified")
+    scratch.drop(often, again, classes, many, known)
     return out
 
 
@@ -129,30 +129,104 @@ def by_key(rows: DataFrame, *extra: str) -> DataFrame:
     return rows.groupBy(F.shiftright("ord", POSITION_BITS).alias("key")).agg(F.collect_list(F.struct("ord", "n", *extra)).alias("runs"))
 
 
-def window_hashes(docs: DataFrame, probes: DataFrame, tokens: Tokens) -> DataFrame:
-    """WINDOWS rows of all windows in the runs `probes` (ord, n)."""
+CONTEXTS = "h long, ord long, classes long, context binary"
+
+
+def contexts(docs: DataFrame, probes: DataFrame, tokens: Tokens) -> DataFrame:
+    """CONTEXTS rows: the text of each run in `probes` (h, ord, n, classes), read at its coordinates."""
     low = (1 << POSITION_BITS) - 1
 
     def kernel(batches):
         for batch in batches:
             raw, offsets = grid.buffer_of(batch.column(0))
-            lists = batch.column(1)
-            bounds = lists.offsets.to_numpy()
-            ords, counts = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            bounds = batch.column(1).offsets.to_numpy()
+            ords, counts, hashes, classes = (batch.column(1).values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             for a, b in grid.slices(offsets):
-                values, before, _, _ = tokens.of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                o, c = ords[bounds[a] : bounds[b]], counts[bounds[a] : bounds[b]].astype(np.int64)
-                base = before[np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))]
-                step = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-                at = np.repeat(base + (o & low), c) + step
-                # All windows of a run share its anchor: look it up once for each window start.
-                starts, hashes, _ = anchors(values, before, tokens.window, tokens.anchor)
-                h = hashes[np.searchsorted(starts, at)]
-                w = grid.rolling(values, tokens.window)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(np.repeat(o, c) + step)], names=["h", "w", "ord"])
-
-    joined = docs.select("key", "text").join(by_key(probes), "key").select("text", "runs")
-    return joined.mapInArrow(kernel, WINDOWS)
+                part = raw[offsets[a] : offsets[b]]
+                _, before, starts, ends = tokens.of(part, offsets[a : b + 1] - offsets[a])
+                own = slice(bounds[a], bounds[b])
+                first = np.repeat(before[:-1], np.diff(bounds[a : b + 1])) + (ords[own] & low)
+                last = first + counts[own] + tokens.window - 2
+                lo, hi = (first, last + 1) if starts is None else (starts[first], ends[last])
+                whole = part.tobytes()
+                found = [whole[x:y] for x, y in zip(lo.tolist(), hi.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[own]), pa.array(ords[own]), pa.array(classes[own]), pa.array(found, pa.binary())], names=["h", "ord", "classes", "context"])
+
+    joined = docs.select("key", "text").join(by_key(probes, "h", "classes"), "key").select("text", "runs")
+    return joined.mapInArrow(kernel, CONTEXTS)
+
+
+def _windows(contexts_: pa.Array, tokens: Tokens):
+    """(index of context, window's place in it, window hash) of all windows in the contexts."""
+    raw, offsets = grid.buffer_of(contexts_)
+    values, before, _, _ = tokens.of(raw, offsets)
+    starts = np.flatnonzero(window_starts(before, tokens.window))
+    context = np.searchsorted(before, starts, "right") - 1
+    return context, starts - before[context], grid.rolling(values, tokens.window)[starts]
+
+
+def _local(h: np.ndarray, ords: np.ndarray, texts: list, tokens: Tokens, later: bool):
+    """(ord, n) of the repeated windows among whole groups of contexts."""
+    context, place, w = _windows(pa.array(texts, pa.binary()), tokens)
+    key = grid.mix(h.view(np.uint64)[context] ^ grid.mix(w + np.uint64(grid.BASE)))
+    at = ords[context] + place
+    order = np.lexsort((at, key))
+    same = key[order][1:] == key[order][:-1]
+    hit = np.zeros(len(order), bool)
+    hit[order[1:][same]] = True
+    if not later:
+        hit[order[:-1][same]] = True
+    edge = np.ones(len(hit), bool)
+    edge[1:] = (context[1:] != context[:-1]) | ~hit[:-1]
+    lead = np.flatnonzero(hit & edge)
+    marks = np.cumsum(hit & edge)[hit]
+    return at[lead], np.bincount(marks, minlength=len(lead) + 1)[1:]
+
+
+#: Anchors with more classes than this are compared by shuffled window rows instead of in one task.
+LOCAL_CLASSES, LOCAL_BYTES = 2000, 1 << 20
+
+
+def repeated_in(found: DataFrame, tokens: Tokens, later: bool, scratch: Scratch, local_classes: int = LOCAL_CLASSES) -> DataFrame:
+    """(ord, n) of the windows in CONTEXTS rows that occur again (later: that occurred before) at the same anchor."""
+
+    def close(group):
+        h, ords = (np.array(x, np.int64) for x in (group[0], group[1]))
+        at, n = _local(h, ords, group[2], tokens, later)
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int32))], names=["ord", "n"])
+
+    def local(batches):
+        group, size = ([], [], []), 0
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 3)]
+            for h, ord_, text in zip(*columns):
+                if size > LOCAL_BYTES and h != group[0][-1]:
+                    yield close(group)
+                    group, size = ([], [], []), 0
+                group[0].append(h)
+                group[1].append(ord_)
+                group[2].append(text)
+                size += len(text)
+        if group[0]:
+            yield close(group)
+
+    def rows(batches):
+        for batch in batches:
+            h, ords = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for a, b in grid.slices(grid.buffer_of(batch.column(3))[1]):
+                context, place, w = _windows(batch.column(3).slice(a, b - a), tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(h[a:b][context]), pa.array(w.view(np.int64)), pa.array(ords[a:b][context] + place)], names=["h", "w", "ord"])
+
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = found.filter(F.col("classes") <= local_classes)
+    out = few.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(local, "ord long, n int")
+    hot = found.filter(F.col("classes") > local_classes)
+    if hot.isEmpty():
+        return out
+    windows = scratch.write(hot.mapInArrow(rows, WINDOWS), "windows")
+    twice = scratch.write(windows.groupBy("h", "w").agg(F.min("ord").alias("first"), F.count("*").alias("c")).filter("c > 1"), "twice")
+    single = windows.join(twice, ["h", "w"])
+    return out.unionByName((single.filter("ord > first") if later else single).select("ord", F.lit(1).alias("n")))
 
 
 def covered(count: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

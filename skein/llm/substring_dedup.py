@@ -28,10 +28,9 @@ WINDOW, ANCHOR = 35, 10
 def repeated_runs(docs: DataFrame, scratch: Scratch, tokens: repeats.Tokens) -> DataFrame:
     """(ord, n): runs of windows whose words also start elsewhere."""
     known = repeats.classify(repeats.find_runs(docs, tokens), scratch)
-    probes = known.filter("branches AND ord = first").select("ord", "n")
-    windows = scratch.write(repeats.window_hashes(docs, probes, tokens), "windows")
-    often = windows.groupBy("h", "w").agg(F.count("*").alias("c")).filter("c > 1").select("h", "w")
-    single = windows.join(often, ["h", "w"]).select("ord", F.lit(1).alias("n"))
+    probes = known.filter("classes > 1 AND ord = first").select("h", "ord", "n", "classes")
+    texts = scratch.write(repeats.contexts(docs, probes, tokens), "contexts")
+    single = repeats.repeated_in(texts, tokens, False, scratch)
     return scratch.write(known.filter("copies > 1").select("ord", "n").unionByName(single), "repeated")
 
 

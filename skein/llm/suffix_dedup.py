@@ -41,30 +41,28 @@ class SuffixFamily:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """(ord, n): runs of the batch's windows that also start earlier. batch: (key, text)."""
+        self._merge()
         write = self.scratch.write
         array = write(repeats.find_runs(batch, self.tokens).sortWithinPartitions("h", "span"), "array")
         self.texts.append(batch)
         union = reduce(DataFrame.unionByName, [x for _, x in self.levels], array)
         least = batch.agg(F.min("key")).first()[0]
         known = repeats.classify(union, self.scratch)
-        probes = known.filter("branches AND ord = first").select("ord", "n")
-        windows = write(repeats.window_hashes(reduce(DataFrame.unionByName, self.texts), probes, self.tokens), "windows")
-        firsts = windows.groupBy("h", "w").agg(F.min("ord").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-        single = windows.join(firsts, ["h", "w"]).filter("ord > first").select("ord", F.lit(1).alias("n"))
+        probes = known.filter("classes > 1 AND ord = first").select("h", "ord", "n", "classes")
+        texts = write(repeats.contexts(reduce(DataFrame.unionByName, self.texts), probes, self.tokens), "contexts")
+        single = repeats.repeated_in(texts, self.tokens, True, self.scratch)
         found = known.filter("ord > first").select("ord", "n").unionByName(single)
         found = write(found if least is None else found.filter(F.col("ord") >= (least << POSITION_BITS)), "found")
-        self.scratch.drop(windows, known)
-        self._merge(array)
+        self.scratch.drop(texts, known)
+        self.levels.append((1, array))
         return found
 
-    def _merge(self, array: DataFrame) -> None:
-        size = 1
-        while self.levels and self.levels[-1][0] == size:
-            _, other = self.levels.pop()
-            merged = self.scratch.write(other.unionByName(array).sortWithinPartitions("h", "span"), "level")
-            self.scratch.drop(other, array)
-            array, size = merged, size * 2
-        self.levels.append((size, array))
+    def _merge(self) -> None:
+        """Levels of equal size become one; done when the next batch comes, as the last may not be needed."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (size, a), (_, b) = self.levels.pop(), self.levels.pop()
+            self.levels.append((2 * size, self.scratch.write(a.unionByName(b).sortWithinPartitions("h", "span"), "level")))
+            self.scratch.drop(a, b)
 
 
 def deal(docs: DataFrame, batches: int) -> list[DataFrame]:
