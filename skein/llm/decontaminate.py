@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grid
-from .runtime import Scratch, keyed
+from .runtime import Scratch, keyed, rebuilt
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -249,7 +249,7 @@ def report(found: DataFrame) -> DataFrame:
 
 def cut_spans(text: str | None, spans: list[int] | None) -> str | None:
     """The text without its byte spans; what stood on both sides of one is kept apart by white space."""
-    if text is None or not spans:
+    if text is None or spans is None or not len(spans):
         return text
     raw, out, last = text.encode(), [], 0
     for i in range(0, len(spans), 2):
@@ -266,6 +266,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     return scratch.result(found.join(own.select("key", "doc_id"), "key").drop("key"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """All rows and columns of `docs`, the texts without the spans of benchmark windows."""
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    own = keyed(docs, scratch, whole=True)
+    spans = hits(own, benchmark, scratch, **options).filter(F.size("spans") > 0).select("key", "spans")
+    joined = own.join(scratch.result(spans), "key", "left")
+    cut = F.pandas_udf(lambda texts, spans_: texts.combine(spans_, cut_spans), "string")
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans"))
+    return rebuilt(joined.select("doc_id", text.alias("text"), "row"), docs, True)
+
+
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return contamination(docs, items).drop("spans")

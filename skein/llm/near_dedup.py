@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import grid
 from .components import components
 from .repeats import window_starts
-from .runtime import Scratch, keyed
+from .runtime import Scratch, keyed, rebuilt
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
@@ -236,5 +236,14 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return scratch.result(found.join(ids, "key").join(first, "component").select("doc_id", "n_shingles", "component_id", (F.col("key") == F.col("component")).alias("kept")))
 
 
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` without those whose component holds an earlier document; all columns."""
+    scratch = Scratch(docs.sparkSession, "near")
+    own = keyed(docs, scratch, whole=True)
+    found = near_components(own, scratch, **options)
+    kept = scratch.result(found.filter("key = component").select("key"))
+    return rebuilt(own.join(kept, "key"), docs, False)
+
+
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import grid
 from .runtime import POSITION_BITS, Scratch
@@ -240,9 +241,11 @@ def covered(count: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 RESULT = "key long, n_tokens long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
-def remove(docs: DataFrame, runs: DataFrame, tokens: Tokens, with_text: bool) -> DataFrame:
+def remove(docs: DataFrame, runs: DataFrame, tokens: Tokens, with_text: bool, carry: tuple[str, ...] = ()) -> DataFrame:
     """RESULT rows of all documents: the windows in `runs` (ord, n) are taken out.
 
+    Columns of `docs` named in `carry` are passed through.
+
     Words that stay are joined by one space; bytes that stay are concatenated.
     kept_text is null unless asked for or where the text is; the bytes of a
     character that a cut splits are left out of it (not of the digest).
@@ -275,7 +278,9 @@ def remove(docs: DataFrame, runs: DataFrame, tokens: Tokens, with_text: bool) ->
                     text = kept.decode("utf-8", "ignore") if with_text and not nulls[a + i] else None
                     out.append((hi - lo, int(gone.sum()), edges, hashlib.sha256(kept).hexdigest(), text))
                 columns = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), *columns], names=names)
+                passed = [batch.column(3 + i).slice(a, b - a) for i in range(len(carry))]
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), *columns, *passed], names=[*names, *carry])
 
-    joined = docs.select("key", "text").join(by_key(runs), "key", "left").select("key", "text", "runs")
-    return joined.mapInArrow(kernel, RESULT)
+    joined = docs.select("key", "text", *carry).join(by_key(runs), "key", "left").select("key", "text", "runs", *carry)
+    schema = T.StructType(T.StructType.fromDDL(RESULT).fields + [docs.schema[c] for c in carry])
+    return joined.mapInArrow(kernel, schema)

@@ -71,23 +71,26 @@ class Scratch:
         jvm.System.gc()
 
 
-def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def keyed(docs: DataFrame, scratch: Scratch, whole: bool = False) -> DataFrame:
     """Rows (key, doc_id, text) with a unique key in [0, 2**36) that follows doc_id's order.
 
+    whole: with a struct `row` of all other columns, for `rebuilt`.
+
     The key is doc_id itself where it is unique, not null and in range. Otherwise
     rows are numbered in doc_id order, nulls first; rows of equal id then count as
     separate documents, in the order of their texts.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    row = [F.struct(F.lit(0).alias("_skein"), *[docs[c] for c in docs.columns if c not in ("doc_id", "text")]).alias("row")] if whole else []
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *row)
     seen = own.groupBy("doc_id").agg(F.count("*").alias("n")).agg(
         F.max("n").alias("most"), F.min("doc_id").alias("least"), F.max("doc_id").alias("largest"), F.max(F.col("doc_id").isNull()).alias("nulls")
     ).first()
     if seen.most is None or (seen.most == 1 and not seen.nulls and seen.least >= 0 and seen.largest < MAX_KEY):
-        return own.select(F.col("doc_id").alias("key"), "doc_id", "text")
+        return own.select(F.col("doc_id").alias("key"), *own.columns)
     parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
     digest = F.xxhash64("text")
     ordered = own.repartitionByRange(parts, F.asc_nulls_first("doc_id"), digest).sortWithinPartitions(F.asc_nulls_first("doc_id"), digest)
-    numbered = scratch.write(ordered.select(F.monotonically_increasing_id().alias("at"), "doc_id", "text"), "numbered")
+    numbered = scratch.write(ordered.select(F.monotonically_increasing_id().alias("at"), *own.columns), "numbered")
     counts = numbered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
     before = {}
     total = 0
@@ -95,4 +98,17 @@ def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
         before[row.part] = total
         total += row.n
     offset = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.shiftright("at", 33)]
-    return numbered.select((offset + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("key"), "doc_id", "text")
+    return numbered.select((offset + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("key"), *own.columns)
+
+
+def rebuilt(rows: DataFrame, docs: DataFrame, new_text: bool) -> DataFrame:
+    """The columns of `docs` from rows (doc_id, text, row); n_chars, if there, follows a new text."""
+    out = []
+    for c in docs.columns:
+        if c in ("doc_id", "text"):
+            out.append(F.col(c).cast(docs.schema[c].dataType).alias(c))
+        elif c == "n_chars" and new_text:
+            out.append(F.length("text").cast(docs.schema[c].dataType).alias(c))
+        else:
+            out.append(F.col("row")[c].alias(c))
+    return rows.select(*out)

@@ -39,9 +39,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     scratch = Scratch(docs.sparkSession, "substring")
     own = keyed(docs, scratch)
     tokens = repeats.Tokens(window, min(anchor, window), grid.SPACE)
-    found = repeats.remove(own, repeated_runs(own, scratch, tokens), tokens, with_text)
-    ids = own.select("key", "doc_id")
-    return scratch.result(found.join(ids, "key").select("doc_id", F.col("n_tokens").alias("n_words"), "n_removed", "n_spans", "kept_sha256", "kept_text"))
+    found = repeats.remove(own, repeated_runs(own, scratch, tokens), tokens, with_text, ("doc_id",))
+    return scratch.result(found.select("doc_id", F.col("n_tokens").alias("n_words"), "n_removed", "n_spans", "kept_sha256", "kept_text"))
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

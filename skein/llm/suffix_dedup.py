@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .runtime import POSITION_BITS, Scratch, keyed
+from .runtime import POSITION_BITS, Scratch, keyed, rebuilt
 
 #: Bytes of a string, and bytes of the k-mers that anchor it.
 WINDOW, ANCHOR = 100, 24
@@ -79,15 +79,28 @@ def deal(docs: DataFrame, batches: int) -> list[DataFrame]:
     return parts
 
 
+def earlier_runs(docs: DataFrame, family: SuffixFamily, batches: int) -> DataFrame:
+    """(ord, n): runs of windows of (key, text) that also start earlier."""
+    return reduce(DataFrame.unionByName, [family.add(part) for part in deal(docs, batches)])
+
+
 def remove_earlier(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES, with_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of every row of `docs`."""
     scratch = Scratch(docs.sparkSession, "suffix")
     own = keyed(docs, scratch)
     family = SuffixFamily(scratch, window, anchor)
-    found = reduce(DataFrame.unionByName, [family.add(part) for part in deal(own, batches)])
-    kept = repeats.remove(own, found, family.tokens, with_text)
-    ids = own.select("key", "doc_id")
-    return scratch.result(kept.join(ids, "key").select("doc_id", F.col("n_tokens").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "kept_text"))
+    kept = repeats.remove(own, earlier_runs(own, family, batches), family.tokens, with_text, ("doc_id",))
+    return scratch.result(kept.select("doc_id", F.col("n_tokens").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "kept_text"))
+
+
+def strip_earlier(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
+    """All rows and columns of `docs`, the texts without bytes of windows that also start earlier."""
+    scratch = Scratch(docs.sparkSession, "suffix")
+    own = keyed(docs, scratch, whole=True)
+    family = SuffixFamily(scratch, window, anchor)
+    found = scratch.result(earlier_runs(own, family, batches))
+    kept = repeats.remove(own, found, family.tokens, True, ("doc_id", "row"))
+    return rebuilt(kept.select("doc_id", F.col("kept_text").alias("text"), "row"), docs, True)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
