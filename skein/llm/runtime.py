@@ -44,13 +44,15 @@ class Scratch:
         self.count = 0
         self.live: dict[str, DataFrame] = {}
 
-    def write(self, frame: DataFrame, name: str = "t") -> DataFrame:
+    def write(self, frame: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
+        """keep: `result` does not drop it, as what the call returns reads it."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
         frame.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
         out._skein_path = path
-        self.live[path] = out
+        if not keep:
+            self.live[path] = out
         return out
 
     def result(self, frame: DataFrame) -> DataFrame:
@@ -90,7 +92,7 @@ def keyed(docs: DataFrame, scratch: Scratch, whole: bool = False) -> DataFrame:
     parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
     digest = F.xxhash64("text")
     ordered = own.repartitionByRange(parts, F.asc_nulls_first("doc_id"), digest).sortWithinPartitions(F.asc_nulls_first("doc_id"), digest)
-    numbered = scratch.write(ordered.select(F.monotonically_increasing_id().alias("at"), *own.columns), "numbered")
+    numbered = scratch.write(ordered.select(F.monotonically_increasing_id().alias("at"), *own.columns), "numbered", keep=whole)
     counts = numbered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
     before = {}
     total = 0

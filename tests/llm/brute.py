@@ -94,3 +94,25 @@ def contaminated(rows, items, window=10):
                     hit[i : i + n] = [True] * n
         out[k] = (len(w), sum(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest())
     return out
+
+
+def repeat_words(text, window=8):
+    words = SPACE_WORD.findall(text or "")
+    grams = [tuple(words[i : i + window]) for i in range(len(words) - window + 1)]
+    seen = Counter(grams)
+    covered = {p for i, g in enumerate(grams) if seen[g] > 1 for p in range(i, i + window)}
+    return len(covered)
+
+
+def strip_earlier_text(rows, window=100):
+    """rows: (doc_id, text) in doc_id order. {doc_id: kept text}; bytes of split characters are left out."""
+    seen, out = set(), {}
+    for k, t in rows:
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - window + 1):
+            if raw[i : i + window] in seen:
+                gone[i : i + window] = b"\x01" * window
+            seen.add(raw[i : i + window])
+        out[k] = None if t is None else bytes(b for b, g in zip(raw, gone) if not g).decode("utf-8", "ignore")
+    return out
