@@ -7,6 +7,7 @@ from .language_id import op2_language_id
 from .license_scan import OP7_SQL, op7_license_scan
 from .line_crf import op6_line_crf
 from .near_dedup import op3_near_dedup
+from .oracles import OP3, OP4, OP5, OP8
 from .packing import op10_packing
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .substring_dedup import op4_substring_dedup
@@ -32,5 +33,9 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": OP1_SQL,
+        "op3_near_dedup": OP3,
+        "op4_substring_dedup": OP4,
+        "op5_suffix_dedup": OP5,
         "op7_license_scan": OP7_SQL,
+        "op8_decontamination": OP8,
     }
