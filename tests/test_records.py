@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 from skein import schema
 from skein.operators import provenance as P
-from skein.operators import spectral
+from skein.operators import lattice, spectral
 from skein.operators.graph import Graph
 from skein.operators.index import NodeIndex
-from skein.operators.signatures import Ed25519, MockScheme, Registry, SecretKeySigner
+from skein.operators.signatures import SCHEMES, Ed25519, Hybrid, MockScheme, Registry, SecretKeySigner
 from skein.operators.trust import TrustStore, authorized, chained, verify_authorized
 from skein.sources.artifact import Artifact, ArtifactError, parse, read_edges
 from test_graph import make
@@ -105,6 +105,29 @@ def test_ed25519_follows_the_published_vectors():
         assert not Ed25519.verify(p, m + b"x", g) and not Ed25519.verify(p, m, g[:-1])
 
 
+@pytest.mark.parametrize("name", ["ml-dsa-65", Hybrid.name])
+def test_lattice_and_hybrid_signatures(name):
+    scheme, secret = SCHEMES[name], bytes(range(32))
+    key = scheme.public_key(secret)
+    for message in (b"", b"m" * 300):
+        signature = scheme.sign(secret, message)
+        assert scheme.verify(key, message, signature) and not scheme.verify(key, message + b"!", signature)
+        for at in (0, 60, len(signature) - 1):
+            spoilt = bytearray(signature)
+            spoilt[at] ^= 1
+            assert not scheme.verify(key, message, bytes(spoilt))
+    assert not scheme.verify(scheme.public_key(bytes(32)), b"", scheme.sign(secret, b"")) and not scheme.verify(key, b"", b"")
+
+
+def test_lattice_sizes_and_transform():
+    public, secret = lattice.MLDSA65.key_pair(bytes(32))
+    assert (len(public), len(secret), len(lattice.MLDSA65.sign(secret, b"x"))) == (1952, 4032, 3309)
+    a, b = np.random.default_rng(0).integers(0, lattice.Q, (2, 256))
+    full = [sum(int(a[i]) * int(b[k - i]) for i in range(max(0, k - 255), min(k, 255) + 1)) for k in range(511)]
+    want = [(full[k] - (full[k + 256] if k < 255 else 0)) % lattice.Q for k in range(256)]
+    assert lattice.inverse(lattice.transform(a) * lattice.transform(b) % lattice.Q).tolist() == want
+
+
 def store() -> tuple[TrustStore, dict[str, bytes]]:
     secrets = {name: bytes([i]) * 32 for i, name in enumerate(("root", "tenant7", "agent", "impostor"))}
     keys = {n: Ed25519.public_key(s) for n, s in secrets.items()}
