@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..schema import CONFIDENCE_NAMES, SCORES, TRUST
-from .queries import BUDGET, DEPTH, QUESTION
+from .queries import BUDGET, DEPTH, QUESTION, WIDE, WIDE_BUDGET, WIDE_DEPTH
 
 
 def _slug(expression: str) -> str:
@@ -69,8 +69,8 @@ DEGREES = """degrees AS (
         FROM (SELECT degree, sum(count(*)) OVER (ORDER BY degree) AS seen, sum(count(*)) OVER () AS n FROM degrees GROUP BY degree))"""
 
 
-def _scored() -> str:
-    terms = QUESTION.split()
+def _scored(question: str) -> str:
+    terms = question.split()
     weights = ", ".join(f"greatest(ln(count(*) / greatest(1, count(*) FILTER (WHERE contains(lower(label), '{t}')))), 0) + 1 AS w{i}" for i, t in enumerate(terms))
     score = " + ".join(f"CASE WHEN lower(label) = '{t}' THEN 3 * w{i} WHEN starts_with(lower(label), '{t}') THEN 2 * w{i} WHEN contains(lower(label), '{t}') THEN w{i} ELSE 0 END" for i, t in enumerate(terms))
     return f"""idf AS (SELECT {weights} FROM nodes),
@@ -79,20 +79,26 @@ def _scored() -> str:
     seeds AS (SELECT id, score, rank FROM top3 WHERE score >= 0.25 * most)"""
 
 
-def _reached() -> str:
+def _reached(depth: int) -> str:
     parts = ["l0 AS (SELECT id, 0 AS depth, rank AS r FROM seeds)", "k0 AS (SELECT * FROM l0)"]
-    for d in range(1, DEPTH + 1):
+    for d in range(1, depth + 1):
         parts.append(f"""l{d} AS (
             SELECT target AS id, {d} AS depth, row_number() OVER (ORDER BY min(row(r, target))) AS r
             FROM l{d - 1} JOIN degrees USING (id) JOIN edges ON source = l{d - 1}.id
             WHERE degree <= (SELECT hub_threshold FROM hub) AND target NOT IN (SELECT id FROM k{d - 1}) GROUP BY target)""")
         parts.append(f"k{d} AS (SELECT * FROM k{d - 1} UNION ALL SELECT * FROM l{d})")
-    return ",\n    ".join([*parts, f"reached AS (SELECT * FROM k{DEPTH})"])
+    return ",\n    ".join([*parts, f"reached AS (SELECT * FROM k{depth})"])
 
 
-SEEDED = f"{STAR}, {DEGREES}, {_scored()}"
-REACHED = f"{SEEDED}, {_reached()}"
-LINES = f"""{REACHED},
+SEEDED = f"{STAR}, {DEGREES}, {_scored(QUESTION)}"
+
+
+def _found(question: str, depth: int) -> str:
+    return f"{STAR}, {DEGREES}, {_scored(question)}, {_reached(depth)}"
+
+
+def _lines(question: str, depth: int, budget: int) -> str:
+    return f"""{_found(question, depth)},
     lines AS (
         SELECT depth, r, 0 AS k, '' AS target, '' AS relation, '[' || CASE WHEN kind = '' THEN 'node' ELSE kind END || '] ' || label || chr(10) AS line FROM reached JOIN nodes USING (id)
         UNION ALL
@@ -102,8 +108,8 @@ LINES = f"""{REACHED},
         SELECT row_number() OVER w - 1 AS "at", k, line, coalesce(sum(octet_length(encode(line))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
         FROM lines WINDOW w AS (ORDER BY depth, r, k, target, relation)),
     shown AS (
-        SELECT "at"::BIGINT AS "at", line FROM placed WHERE before < {BUDGET}
-        UNION ALL SELECT {1 << 62}::BIGINT, '…' || chr(10) FROM placed WHERE k = 0 HAVING max(before) >= {BUDGET})"""
+        SELECT "at"::BIGINT AS "at", line FROM placed WHERE before < {budget}
+        UNION ALL SELECT {1 << 62}::BIGINT, '…' || chr(10) FROM placed WHERE k = 0 HAVING max(before) >= {budget})"""
 
 ENVELOPES = f"""env AS (
         SELECT subject_id, ord, 'agent:' || k AS agent, (k + ord) % 7 AS basis, 'parent' || k AS parent_hash, CASE WHEN k % 5 = 4 THEN 'mock-v9' ELSE 'mock-v1' END AS algorithm
@@ -167,9 +173,9 @@ def oracle_sql() -> dict[str, str]:
         "hub_threshold": f"{STAR}, {DEGREES} SELECT hub_threshold FROM hub",
         "seed_scores": f"{SEEDED} SELECT id, round(score, 6) AS score FROM scored",
         "seed_topk": f"{SEEDED} SELECT id, round(score, 6) AS score, rank::BIGINT AS rank FROM seeds",
-        "bfs_reach": f"{REACHED} SELECT id, depth::INT AS depth FROM reached",
-        "render_lines": f'{LINES} SELECT "at", line FROM shown',
-        "query_text": f"""{LINES} SELECT string_agg(line, '' ORDER BY "at") AS text FROM shown""",
+        "bfs_reach": f"{_found(WIDE, WIDE_DEPTH)} SELECT id, depth::INT AS depth FROM reached",
+        "render_lines": f'{_lines(QUESTION, DEPTH, BUDGET)} SELECT "at", line FROM shown',
+        "query_text": f"""{_lines(WIDE, WIDE_DEPTH, WIDE_BUDGET)} SELECT string_agg(line, '' ORDER BY "at") AS text FROM shown""",
         "shortest_path": f"""WITH RECURSIVE c AS (SELECT conv_id, turn FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations)),
             walk AS (SELECT turn, 0 AS n FROM c WHERE turn = (SELECT min(turn) FROM c) UNION SELECT c.turn, walk.n + 1 FROM walk JOIN c ON c.turn = walk.turn + 1)
             SELECT n::BIGINT AS "at", {_id('turn', "(SELECT min(conv_id) FROM c) || ' ' || turn")} AS id FROM walk""",

@@ -18,6 +18,8 @@ from ..sources import artifact as A
 from ..sources.projection import product_log, quantity_tag, star_graph, tables, trade_graph, turn_graph
 
 QUESTION, DEPTH, BUDGET = "asia customer", 2, 4000
+#: A question whose seeds are a customer and hubs, for reach and a budget that cuts.
+WIDE, WIDE_DEPTH, WIDE_BUDGET = "customer 000000007", 3, 900
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +165,7 @@ def seed_topk(spark, d):
 def bfs_reach(spark, d):
     graph = star_graph(spark, d)
     hub = graph.hub_threshold().first().hub_threshold
-    return traverse.reach(graph, R.seeds(graph, QUESTION), DEPTH, graph.degrees(), hub).select("id", F.col("depth").cast("int").alias("depth"))
+    return traverse.reach(graph, R.seeds(graph, WIDE), WIDE_DEPTH, graph.degrees(), hub).select("id", F.col("depth").cast("int").alias("depth"))
 
 
 def render_lines(spark, d):
@@ -171,7 +173,7 @@ def render_lines(spark, d):
 
 
 def query_text(spark, d):
-    return R.answer(star_graph(spark, d), QUESTION, DEPTH, BUDGET)
+    return R.answer(star_graph(spark, d), WIDE, WIDE_DEPTH, WIDE_BUDGET)
 
 
 def shortest_path(spark, d):
