@@ -103,13 +103,13 @@ class Graph:
         ends = self.edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
         return self.nodes.select("id").join(ends, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
 
-    def hub_threshold(self) -> DataFrame:
+    def hub_threshold(self, degrees: DataFrame | None = None) -> DataFrame:
         """(hub_threshold): the degree at place min(floor(0.99 n), n - 1) of the sorted degrees, at least 1.
 
-        It is read from the histogram of degrees, so no sort of all nodes is needed;
-        the window below runs over the distinct degrees only.
+        It is read from the histogram of degrees, so no sort of all nodes is needed.
+        `degrees` saves counting them again.
         """
-        histogram = self.degrees().groupBy("degree").agg(F.count("*").alias("c"))
+        histogram = (self.degrees() if degrees is None else degrees).groupBy("degree").agg(F.count("*").alias("c"))
         lists = histogram.agg(F.array_sort(F.collect_list(F.struct("degree", "c"))).alias("h"), F.sum("c").alias("n"))
         at = F.least(F.floor(F.col("n") * HUB_PERCENT / 100), F.col("n") - 1)
         start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("d"))

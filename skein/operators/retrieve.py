@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import score_text, tokens_of
+from ..session import settle
 from .graph import Graph
 from .traverse import reach
 
@@ -81,9 +82,9 @@ def rendered(all_lines: DataFrame, budget: int) -> DataFrame:
 
 def answer_lines(graph: Graph, question: str, depth: int = 3, budget: int = 4000) -> DataFrame:
     """(at, line) of the answer to a question; no rows if no label matches."""
-    degrees = graph.degrees()
-    hub = graph.hub_threshold().first().hub_threshold
-    return rendered(lines(graph, reach(graph, seeds(graph, question), depth, degrees, hub)), budget)
+    degrees = settle(graph.degrees())
+    hub = graph.hub_threshold(degrees).first().hub_threshold
+    return rendered(settle(lines(graph, reach(graph, seeds(graph, question), depth, degrees, hub))), budget)
 
 
 def answer(graph: Graph, question: str, depth: int = 3, budget: int = 4000) -> DataFrame:

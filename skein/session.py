@@ -19,11 +19,19 @@ def shared_folder(spark: SparkSession) -> str:
     return str(found).rstrip("/")
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """The driver deletes the folder when it shuts down; until then any frame may still read it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def settle(frame: DataFrame) -> DataFrame:
     """Writes a frame and reads it back: survives lost executors and keeps plans of loops short."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    delete_on_exit(spark, path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
