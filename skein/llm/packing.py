@@ -26,7 +26,7 @@ from .tokens import encoder
 
 CAPACITY, FINE, END_ID = 4096, 64, 2
 #: Pieces that one worker numbers.
-WORKER_ROWS = 50_000
+WORKER_ROWS = 10_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 

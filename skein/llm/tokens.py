@@ -1,10 +1,13 @@
 """Token ids of whole texts, through a bounded cache of white-space chunks.
 
 The tokenizer drops white space and splits at it, so the ids of a text are those
-of its chunks, one after the other. Chunks repeat, so most cost one lookup; the
-missing ones of a batch that are letters (with a comma or stop, perhaps) are
-encoded in one call and cut apart at the word-end ids. Texts with the control
-characters that only Python takes for white space are encoded whole.
+of its chunks, one after the other. Chunks repeat, so most cost one lookup. A
+missing chunk of Latin letters, perhaps with a comma or stop, is lower-cased and
+looked up without that mark; the words still missing in a batch are encoded in
+one call, by the tokenizer's model without the normalising that such words do not
+need, and cut apart at the word-end ids. All other chunks are encoded one by one,
+and texts with the control characters that only Python takes for white space are
+encoded whole.
 """
 
 from __future__ import annotations
@@ -13,8 +16,24 @@ import re
 
 import numpy as np
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 _ODD = re.compile("[\x1c-\x1f]")
+#: Letters that lower-case one by one and that no normal form changes.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Bytes without a visible Latin-1 letter, to the letters that byte-level vocabularies use for them."""
+    hidden = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+    return {b: 0x100 + i for i, b in enumerate(hidden)}
+
+
+_LETTERS = {b: c for b, c in _byte_letters().items() if b != 0x20}
+
+
+def _spelt(words: str) -> str:
+    """Words, apart by spaces, in the letters of a byte-level vocabulary."""
+    return words.encode().decode("latin-1").translate(_LETTERS)
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -30,43 +49,55 @@ class Encoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.cache: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
         self.entries = entries
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, at in vocabulary.items():
             self.ends[at] = token.endswith("</w>")
-        self.marks = {c: self._whole(c) for c in ",."}
+        self.marks = {c: self._whole(c) if c else b"" for c in ("", ",", ".")}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, missing: set[str]) -> None:
-        plain, tails = [], []
+        plain, others = [], []
         for chunk in missing:
-            if chunk.isalpha():
-                plain.append(chunk)
-                tails.append("")
-            elif chunk[-1] in ",." and chunk[:-1].isalpha():
-                plain.append(chunk[:-1])
-                tails.append(chunk[-1])
+            mark = chunk[-1] if chunk[-1] in ",." else ""
+            core = chunk[:-1] if mark else chunk
+            if core.isalpha() and (core.isascii() or _PLAIN.fullmatch(core)):
+                plain.append((chunk, core.lower(), mark))
             else:
-                self.cache[chunk] = self._whole(chunk)
-        for i in range(0, len(plain), 5000):
-            part = plain[i : i + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(cuts) != len(part):  # a letter that the tokenizer splits in its own way
-                for core, tail in zip(part, tails[i : i + 5000]):
-                    self.cache[core + tail] = self._whole(core + tail)
-                continue
-            packed, last = ids.tobytes(), 0
-            for core, tail, cut in zip(part, tails[i : i + 5000], cuts.tolist()):
-                self.cache[core + tail] = packed[last:cut] + self.marks[tail] if tail else packed[last:cut]
-                last = cut
+                others.append(chunk)
+        for i in range(0, len(others), 5000):
+            part = others[i : i + 5000]
+            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.cache[chunk] = np.array(found.ids, "<u4").tobytes()
+        if len(self.cores) > self.entries:
+            self.cores.clear()
+        words = {core for _, core, _ in plain}.difference(self.cores)
+        native = [w for w in words if w.isascii()]
+        accented = [w for w in words if not w.isascii()]
+        for words, spell in ((native, str), (accented, _spelt)):
+            for i in range(0, len(words), 20_000):
+                part = words[i : i + 20_000]
+                ids = np.array(self.words.encode_batch_fast([spell(" ".join(part))], add_special_tokens=False)[0].ids, "<u4")
+                cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+                if len(cuts) != len(part):
+                    raise RuntimeError("the vocabulary does not end every word with an end id")
+                packed, last = ids.tobytes(), 0
+                for core, cut in zip(part, cuts.tolist()):
+                    self.cores[core] = packed[last:cut]
+                    last = cut
+        cores, cache, marks = self.cores, self.cache, self.marks
+        for chunk, core, mark in plain:
+            cache[chunk] = cores[core] + marks[mark] if mark else cores[core]
 
     def chunks(self, texts: list[str]) -> list[list[str]]:
         """White-space chunks of the texts, all of them known to the cache afterwards."""
@@ -74,7 +105,7 @@ class Encoder:
         missing = set()
         for chunks in split:
             missing.update(chunks)
-        missing -= self.cache.keys()
+        missing = missing.difference(self.cache)
         if len(self.cache) + len(missing) > self.entries:
             self.cache.clear()
             missing = {c for chunks in split for c in chunks}
