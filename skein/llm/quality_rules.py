@@ -92,8 +92,13 @@ def measures(text: Column) -> Column:
 
 
 def measured(docs: DataFrame, *keep) -> DataFrame:
-    """The columns `keep` with counts and rates of each text."""
-    counts = docs.select(*keep, measures(docs["text"]).alias("_skein")).select(*[c for c in _names(docs, keep)], "_skein.w.*", "_skein.l.*", "_skein.m.*")
+    """The columns `keep` with counts and rates of each text.
+
+    The counts come out of a generator of one row, below which no filter on them
+    can be pushed: a filter would measure the text again for each count it names.
+    """
+    names = docs.select(*keep).columns
+    counts = docs.select(*keep, F.inline(F.array(measures(docs["text"])))).toDF(*names, "_w", "_l", "_m").select(*names, "_w.*", "_l.*", "_m.*")
     rate = lambda a, b, unit: F.floor(F.col(a) * unit / F.greatest(F.col(b), F.lit(1))).cast("long")
     return counts.withColumns(
         {
@@ -105,10 +110,6 @@ def measured(docs: DataFrame, *keep) -> DataFrame:
     )
 
 
-def _names(docs: DataFrame, keep) -> list[str]:
-    return docs.select(*keep).columns
-
-
 def sketches(rows: DataFrame) -> DataFrame:
     """(lang, source, rate, bin, c) counts of the texts that pass the base rules."""
     rates = F.explode(F.array(*[F.struct(F.lit(name).alias("rate"), F.col(name).alias("v")) for name, _, _ in RATES])).alias("x")
