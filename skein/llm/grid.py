@@ -102,10 +102,22 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span (position-free)."""
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 4 << 20) -> np.ndarray:
+    """A 64-bit hash of each byte span (position-free); `step` bytes at a time, so a very long text stays small."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(raw) > step and ends[-1] - starts[0] > step and len(starts) > 1:
+        out, i = np.empty(len(starts), np.uint64), 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + step)))
+            base = starts[i]
+            out[i:j] = _span_hashes(raw[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base)
+            i = j
+        return out
+    return _span_hashes(raw, starts, ends)
+
+
+def _span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     total = np.empty(len(raw) + 1, np.uint64)
     total[0] = 0
     np.cumsum(BYTE_CODES[raw] * powers(BASE, len(raw)), out=total[1:])

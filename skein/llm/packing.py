@@ -55,19 +55,22 @@ def pieces(docs: DataFrame, path: str | None, capacity: int, fine: int) -> DataF
     lengths = class_lengths(capacity, min(fine, capacity))
     end = END_ID.to_bytes(4, "little")
 
+    def cut_batch(known, batch):
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i in range(0, len(texts), 256):
+            rows = []
+            for doc, packed in zip(ids[i : i + 256], known.encode([t or "" for t in texts[i : i + 256]])):
+                packed += end
+                n, at = len(packed) // 4, 0
+                for length in cut(n, lengths):
+                    rows.append((doc, at, length, zlib.crc32(packed[4 * at : 4 * (at + length)]), n))
+                    at += length
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+
     def kernel(batches):
-        known = encoder(path)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 256):
-                rows = []
-                for doc, packed in zip(ids[i : i + 256], known.encode([t or "" for t in texts[i : i + 256]])):
-                    packed += end
-                    n, at = len(packed) // 4, 0
-                    for length in cut(n, lengths):
-                        rows.append((doc, at, length, zlib.crc32(packed[4 * at : 4 * (at + length)]), n))
-                        at += length
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        with encoder(path) as known:
+            for batch in batches:
+                yield from cut_batch(known, batch)
 
     return docs.mapInArrow(kernel, PIECES)
 

@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from . import grid
 from .runtime import POSITION_BITS, Scratch
 
+#: Tokens of a very long text that are looked at together; runs end there, which only makes classes of their own.
+SEGMENT, SLICE = 4 << 20, 1 << 20
 RUNS = "h long, span long, ord long, n int"
 WINDOWS = "h long, w long, ord long"
 
@@ -35,10 +37,15 @@ class Tokens:
 
     def of(self, raw: np.ndarray, offsets: np.ndarray):
         """(token hashes, tokens before each text, byte starts, byte ends)."""
+        before, starts, ends = self.places(raw, offsets)
+        return (grid.BYTE_CODES[raw] if starts is None else grid.span_hashes(raw, starts, ends)), before, starts, ends
+
+    def places(self, raw: np.ndarray, offsets: np.ndarray):
+        """(tokens before each text, byte starts, byte ends); bytes need no starts and ends."""
         if self.separators is None:
-            return grid.BYTE_CODES[raw], offsets, None, None
+            return offsets, None, None
         starts, ends, before = grid.word_spans(raw, offsets, self.separators)
-        return grid.span_hashes(raw, starts, ends), before, starts, ends
+        return before, starts, ends
 
 
 def window_starts(before: np.ndarray, window: int) -> np.ndarray:
@@ -94,15 +101,29 @@ def runs_of(values: np.ndarray, before: np.ndarray, window: int, k: int):
 def find_runs(docs: DataFrame, tokens: Tokens) -> DataFrame:
     """Runs of all texts of (key, text), as RUNS rows."""
 
+    def parts(values: np.ndarray, before: np.ndarray):
+        """(first token, tokens, tokens before each text): long texts in overlapping segments."""
+        if before[-1] <= SEGMENT or len(before) > 2:
+            yield 0, values, before
+            return
+        for at in range(0, int(before[-1]), SEGMENT):
+            piece = values[at : at + SEGMENT + tokens.window - 1]
+            yield at, piece, np.array([0, len(piece)])
+
     def kernel(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             raw, offsets = grid.buffer_of(batch.column(1))
-            for a, b in grid.slices(offsets):
-                values, before, _, _ = tokens.of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                text, start, count, h, span = runs_of(values, before, tokens.window, tokens.anchor)
-                ord_ = (keys[a + text] << POSITION_BITS) | start
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(span), pa.array(ord_), pa.array(count.astype(np.int32))], names=["h", "span", "ord", "n"])
+            for a, b in grid.slices(offsets, SLICE):
+                if offsets[a + 1] - offsets[a] >= 1 << POSITION_BITS:
+                    raise ValueError(f"a text of {offsets[a + 1] - offsets[a]} bytes is above the limit of 2**{POSITION_BITS}")
+                own = raw[offsets[a] : offsets[b]]
+                values, before = (own, offsets[a : b + 1] - offsets[a]) if tokens.separators is None else tokens.of(own, offsets[a : b + 1] - offsets[a])[:2]
+                for first, piece, bounds in parts(values, before):
+                    piece = grid.BYTE_CODES[piece] if tokens.separators is None else piece
+                    text, start, count, h, span = runs_of(piece, bounds, tokens.window, tokens.anchor)
+                    ord_ = (keys[a + text] << POSITION_BITS) | (start + first)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(span), pa.array(ord_), pa.array(count.astype(np.int32))], names=["h", "span", "ord", "n"])
 
     return docs.select("key", "text").mapInArrow(kernel, RUNS)
 
@@ -144,7 +165,7 @@ def contexts(docs: DataFrame, probes: DataFrame, tokens: Tokens) -> DataFrame:
             ords, counts, hashes, classes = (batch.column(1).values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             for a, b in grid.slices(offsets):
                 part = raw[offsets[a] : offsets[b]]
-                _, before, starts, ends = tokens.of(part, offsets[a : b + 1] - offsets[a])
+                before, starts, ends = tokens.places(part, offsets[a : b + 1] - offsets[a])
                 own = slice(bounds[a], bounds[b])
                 first = np.repeat(before[:-1], np.diff(bounds[a : b + 1])) + (ords[own] & low)
                 last = first + counts[own] + tokens.window - 2
@@ -185,7 +206,7 @@ def _local(h: np.ndarray, ords: np.ndarray, texts: list, tokens: Tokens, later:
 
 
 #: Anchors with more classes than this are compared by shuffled window rows instead of in one task.
-LOCAL_CLASSES, LOCAL_BYTES = 2000, 1 << 20
+LOCAL_CLASSES, LOCAL_BYTES = 2000, 1 << 19
 
 
 def repeated_in(found: DataFrame, tokens: Tokens, later: bool, scratch: Scratch, local_classes: int = LOCAL_CLASSES) -> DataFrame:
@@ -264,7 +285,7 @@ def remove(docs: DataFrame, runs: DataFrame, tokens: Tokens, with_text: bool, ca
             at &= low
             for a, b in grid.slices(offsets):
                 part = raw[offsets[a] : offsets[b]]
-                values, before, starts, ends = tokens.of(part, offsets[a : b + 1] - offsets[a])
+                before, starts, ends = tokens.places(part, offsets[a : b + 1] - offsets[a])
                 whole = part.tobytes()
                 out = []
                 for i in range(b - a):

@@ -30,6 +30,12 @@ def shared_folder(spark: SparkSession) -> str:
     return str(found).rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Arrow batches of bounded rows and bytes: each is held by the JVM and by Python at once."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Intermediate tables of one operator call, written as Parquet in the shared folder.
 
@@ -40,6 +46,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
         self.live: dict[str, DataFrame] = {}

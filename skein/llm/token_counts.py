@@ -141,16 +141,14 @@ def recount(text: str, ends: list[int], tree: list[int], edits: list[tuple[int,
     return "".join(pieces), new_ends, tree, len(some)
 
 
-def _counter(path: str | None):
-    known = encoder(path)
+def _counter(known):
     return lambda texts: [len(x) // 4 for x in known.encode(texts)]
 
 
 def build_trees(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
     """TREES rows of every row of `docs` (doc_id, text)."""
 
-    def kernel(batches):
-        count = _counter(path)
+    def built(count, batches):
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for i in range(0, len(texts), 256):
@@ -163,6 +161,10 @@ def build_trees(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> D
                     at += len(e)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, len(part)), pa.array(part, pa.string()), pa.array(ends, pa.list_(pa.int32())), pa.array(trees, pa.list_(pa.int32()))], names=["doc_id", "text", "ends", "tree"])
 
+    def kernel(batches):
+        with encoder(path) as known:
+            yield from built(_counter(known), batches)
+
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(kernel, TREES)
 
@@ -170,8 +172,7 @@ def build_trees(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> D
 def apply_edits(trees: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
     """COUNTED rows: TREES rows with a column edits (start, stop, insert), after those edits."""
 
-    def kernel(batches):
-        count = _counter(path)
+    def edited_rows(count, batches):
         for batch in batches:
             ids = batch.column(0)
             rows = zip(*[batch.column(i).to_pylist() for i in range(1, 5)])
@@ -183,6 +184,10 @@ def apply_edits(trees: DataFrame, path: str | None = None, leaf: int = LEAF) ->
                 names=["doc_id", "text", "ends", "tree", "n_before", "n_tokens", "n_leaves", "n_encoded"],
             )
 
+    def kernel(batches):
+        with encoder(path) as known:
+            yield from edited_rows(_counter(known), batches)
+
     return trees.select("doc_id", "text", "ends", "tree", "edits").mapInArrow(kernel, COUNTED)
 
 

@@ -136,8 +136,10 @@ def test_earlier_bytes_match_brute_force(spark, sf, batches):
     assert got == brute.earlier_bytes(rows, 100)
 
 
-@pytest.mark.parametrize("local", [0, 2000])
-def test_small_windows_over_a_small_alphabet(spark, local, monkeypatch):
+@pytest.mark.parametrize("local, segment", [(0, 40), (2000, 1 << 20)])
+def test_small_windows_over_a_small_alphabet(spark, local, segment, monkeypatch):
+    monkeypatch.setattr(repeats, "SEGMENT", segment)
+    monkeypatch.setattr(repeats, "SLICE", 1 if segment == 40 else 1 << 20)  # each text by itself, in segments
     rnd = random.Random(local)
     rows = [(i, "".join(rnd.choice("ab ") for _ in range(rnd.randrange(120)))) for i in range(60)] + [(100, None), (101, "")]
     keep = repeats.repeated_in
@@ -310,6 +312,15 @@ def test_clashing_columns_and_repeated_ids(spark, sf):
         assert kept.columns == docs.columns and kept.dtypes == docs.dtypes and 0 < kept.count() <= n
 
 
+def test_hashes_do_not_depend_on_the_step():
+    raw = np.frombuffer(cases.LONG.encode(), np.uint8)
+    starts, ends, _ = grid.word_spans(raw, np.array([0, len(raw)]), grid.SPACE)
+    assert (grid.span_hashes(raw, starts, ends, 1000) == grid.span_hashes(raw, starts, ends)).all()
+    values = np.random.default_rng(0).integers(0, 1 << 60, 500).astype(np.uint64)
+    for w in (1, 2, 7, 64, 100):
+        assert grid.sliding_min(values, w).tolist() == [min(values[i : i + w].tolist()) for i in range(len(values) - w + 1)]
+
+
 def test_grid_words_follow_the_patterns():
     import pyarrow as pa
 
