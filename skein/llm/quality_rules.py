@@ -6,9 +6,13 @@ per language, source and rate: histograms of fixed bins, exact below 128 and
 eight wide above, so that two sketches merge by adding counts. The rows of a hot
 source collapse to at most 238 bins a rate before they are shuffled. Thresholds
 follow from the quartiles: a text is rejected where a rate is beyond its median
-by more than `spread` times the distance from median to outer quartile, and by
-more than that rate's own slack. Groups of fewer than `least_rows` texts take the
-merged sketch of their language, and languages as small the sketch of all.
+by more than `spread` times the distance from the median to its nearer quartile,
+and by more than that rate's own slack. Junk on less than half of a group leaves
+one quartile clean, so it cannot widen the limits past a clean quartile's; junk on
+more than half is the group's norm. OP1_SQL takes the outer quartile instead; the
+rows differ only where that distance is the larger one and exceeds the slack.
+Groups of fewer than `least_rows` texts take the merged sketch of their language,
+and languages as small the sketch of all.
 
 The thresholds are joined to the texts on language and source, null being one
 value of either. They are broadcast when counting them shows at most
@@ -138,12 +142,13 @@ def thresholds(counts: DataFrame, spread: int = SPREAD, least_rows: int = LEAST_
     joined = own.join(language, F.col("lang").eqNullSafe(F.col("l")) & (F.col("rate") == F.col("r"))).join(F.broadcast(whole), F.col("rate") == F.col("w"))  # a row a rate
     chosen = F.when(F.col("total") >= least_rows, F.struct("total", "q25", "q50", "q75")).when(F.col("by_language.total") >= least_rows, F.col("by_language")).otherwise(F.col("of_all"))
     rows = joined.select("lang", "source", "rate", chosen.alias("q"))
+    nearer = spread * F.least(F.col("q.q75") - F.col("q.q50"), F.col("q.q50") - F.col("q.q25"))
     limits = []
     for name, above, below in RATES:
         is_rate = F.col("rate") == name
-        limits.append(F.max(F.when(is_rate, F.col("q.q50") + F.greatest(spread * (F.col("q.q75") - F.col("q.q50")), F.lit(above)))).alias(f"most_{name}"))
+        limits.append(F.max(F.when(is_rate, F.col("q.q50") + F.greatest(nearer, F.lit(above)))).alias(f"most_{name}"))
         if below is not None:
-            limits.append(F.max(F.when(is_rate, F.col("q.q50") - F.greatest(spread * (F.col("q.q50") - F.col("q.q25")), F.lit(below)))).alias(f"least_{name}"))
+            limits.append(F.max(F.when(is_rate, F.col("q.q50") - F.greatest(nearer, F.lit(below)))).alias(f"least_{name}"))
     return rows.groupBy("lang", "source").agg(*limits)
 
 

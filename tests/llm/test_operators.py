@@ -64,6 +64,23 @@ def test_quality_rejects_outliers_of_their_own_group(spark):
     assert got[2000] == (False,) and got[2001] == (True,) and all(got[k] == (True,) for k in (*range(300), *range(1000, 1300)))
 
 
+@pytest.mark.parametrize("percent", [24, 26, 35, 45])
+def test_quality_limits_hold_with_much_junk(spark, percent):
+    def text(i, junk):
+        words = [f"w{(i * 7 + j) % 50}" + "x" * ((i + j) % 5) for j in range(40)]
+        noise = 30 + i % 40 if junk == "noisy" else i % 4
+        short = [chr(97 + j % 26) + chr(97 + (i + j // 2) % 26) for j in range(40)]
+        return " ".join(short if junk == "short" else words) + " " + "%" * noise
+
+    rows = []
+    for n, (source, junk) in enumerate((("a", "noisy"), ("b", "short"))):
+        rows += [(1000 * n + i, text(i, junk if i < 4 * percent else ""), "en", source, 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, cases.DOCS)
+    got = quality_rules.quality(docs).collect()
+    assert not any(r.base_failed for r in got)
+    assert [r.doc_id for r in got if r.kept != (r.doc_id % 1000 >= 4 * percent)] == []
+
+
 def test_filter_keeps_rows_and_columns(spark):
     docs = cases.clashing(spark)
     kept = quality_rules.filter_documents(docs)
