@@ -128,15 +128,17 @@ def find_runs(docs: DataFrame, tokens: Tokens) -> DataFrame:
     return docs.select("key", "text").mapInArrow(kernel, RUNS)
 
 
-def classify(runs: DataFrame, scratch: Scratch) -> DataFrame:
+def classify(runs: DataFrame, scratch: Scratch, since: int | None = None) -> DataFrame:
     """(h, ord, n, copies, first, classes): the runs whose anchor occurs twice or more.
 
+    since: only anchors that occur at this ord or later, with all of their runs.
     copies: runs in its class; first: the least ord of its class; classes: the
     number of classes of its anchor, which branches if there are several. Counts
     are pre-aggregated and written before they are joined, so that the joins are
     plain shuffle joins, whose hot partitions adaptive execution can split.
     """
-    often = scratch.write(runs.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "often")
+    again = F.col("c") > 1 if since is None else (F.col("c") > 1) & (F.col("last") >= since)
+    often = scratch.write(runs.groupBy("h").agg(F.count("*").alias("c"), *([] if since is None else [F.max("ord").alias("last")])).filter(again).select("h"), "often")
     again = scratch.write(runs.join(often, "h"), "again")
     classes = scratch.write(again.groupBy("h", "span").agg(F.count("*").alias("copies"), F.min("ord").alias("first")), "classes")
     many = scratch.write(classes.groupBy("h").agg(F.count("*").alias("classes")).filter("classes > 1"), "many")

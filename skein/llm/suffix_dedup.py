@@ -4,10 +4,11 @@ A suffix array here holds the anchored suffixes of a batch (see repeats; about
 one in forty bytes), in the order of the fingerprints of their first bytes:
 suffixes that begin alike are neighbours, which is all that a merge-scan needs.
 `SuffixFamily.add` takes documents in batches of rising doc_id. A new batch gets
-its array, is merge-scanned (a sort-merge join) with every level that exists,
-and loses each byte of a `window`-byte string that also starts earlier. Then
-arrays of equal size merge, so a family over B batches has at most log2(B)+1
-levels and each suffix is rewritten at most log2(B) times.
+its array, is merge-scanned (a sort-merge join) with every level that exists, of
+which only suffixes that begin like one of the batch are classified, and loses
+each byte of a `window`-byte string that also starts earlier. Before the next
+batch arrays of equal size merge, so a family over B batches has at most
+log2(B)+1 levels and each suffix is rewritten at most log2(B) times.
 
 Defined results: a null or empty text has no bytes and loses none; of equal rows
 the first keeps its text; matches may overlap themselves; an empty table gives
@@ -26,8 +27,8 @@ from .runtime import POSITION_BITS, Scratch, keyed, rebuilt
 
 #: Bytes of a string, and bytes of the k-mers that anchor it.
 WINDOW, ANCHOR = 100, 24
-#: Batches that a one-off call deals its documents into.
-BATCHES = 2
+#: Batches that a one-off call deals its documents into; levels merge from three on.
+BATCHES = 4
 
 
 class SuffixFamily:
@@ -47,7 +48,7 @@ class SuffixFamily:
         self.texts.append(batch)
         union = reduce(DataFrame.unionByName, [x for _, x in self.levels], array)
         least = batch.agg(F.min("key")).first()[0]
-        known = repeats.classify(union, self.scratch)
+        known = repeats.classify(union, self.scratch, None if least is None else least << POSITION_BITS)
         probes = known.filter("classes > 1 AND ord = first").select("h", "ord", "n", "classes")
         texts = write(repeats.contexts(reduce(DataFrame.unionByName, self.texts), probes, self.tokens), "contexts")
         single = repeats.repeated_in(texts, self.tokens, True, self.scratch)

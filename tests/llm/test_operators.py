@@ -153,6 +153,22 @@ def test_earlier_bytes_match_brute_force(spark, sf, batches):
     assert got == brute.earlier_bytes(rows, 100)
 
 
+def test_levels_merge_in_a_one_off_call(spark, monkeypatch):
+    rnd = random.Random(8)
+    parts = ["".join(rnd.choice("abcdefgh ") for _ in range(150)) for _ in range(6)]
+    rows = [(i, "".join(rnd.choice(parts)[rnd.randrange(30) :] for _ in range(3)) + str(i)) for i in range(40)]
+    sizes, merge = [], suffix_dedup.SuffixFamily._merge
+
+    def seen(family):
+        merge(family)
+        sizes.append([n for n, _ in family.levels])
+
+    monkeypatch.setattr(suffix_dedup.SuffixFamily, "_merge", seen)
+    got = by_id(suffix_dedup.remove_earlier(frame_of(spark, rows)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.earlier_bytes(rows, 100)
+    assert sizes == [[], [1], [2], [2, 1]]
+
+
 @pytest.mark.parametrize("local, segment", [(0, 40), (2000, 1 << 20)])
 def test_small_windows_over_a_small_alphabet(spark, local, segment, monkeypatch):
     monkeypatch.setattr(repeats, "SEGMENT", segment)
