@@ -7,10 +7,10 @@ fewer words the whole sequence is one shingle). Steps:
    so exact copies never meet again.
 2. A band bucket links each class to the least one in it (a star, not all pairs);
    connected components of these candidate links are families.
-3. In a family, signatures that agree in fewer than `least_agree` minima are
-   passed over (3.9 standard deviations below the threshold at 128 minima), and
-   what remains is confirmed on the full sets; pairs already connected are not
-   compared again. Families beyond `block_docs` documents or `block_shingles`
+3. In a family, all pairs that can be similar by their sizes are compared on the
+   full sets, whatever its size: the shingles that a document shares with all
+   others are counted at once. Pairs already connected are not compared again.
+   Families beyond `block_docs` documents or `block_shingles`
    shingles are dealt into blocks: first each block by itself, then only blocks
    of documents outside the family's largest component against the others, so
    a task holds two blocks at most and no pair between components is left out.
@@ -38,10 +38,7 @@ from .runtime import Scratch, keyed, rebuilt
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
-LEAST_AGREE = 0.6
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 3_000_000
-#: Groups of at most so many documents go to the full sets at once.
-SMALL_GROUP = 8
 
 _RANDOM = np.random.default_rng(20240607)
 FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,43 +110,41 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(kernel, SIGNED)
 
 
-def confirm(texts: list[bytes], component: np.ndarray, side: np.ndarray, words: int, percent: int, least_agree: float) -> list[tuple[int, int]]:
+def confirm(texts: list[bytes], component: np.ndarray, side: np.ndarray, words: int, percent: int) -> list[tuple[int, int]]:
     """Index pairs that connect components of one group; side 0 with 1 if both are there, else all with all."""
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
     values, bounds = sets_of(np.frombuffer(b"".join(texts), np.uint8), offsets, words)
     sizes, label, links = np.diff(bounds), np.unique(component, return_inverse=True)[1], []
     two, n = len(np.unique(side)) > 1, len(texts)
-    signed = minima_of(values, bounds) if n > SMALL_GROUP else None
+    distinct, numbers = np.unique(values, return_inverse=True)
+    numbers, own = numbers.astype(np.int32), np.zeros(len(distinct), bool)
     for i in range(n - 1):
         other = np.arange(i + 1, n)
         ok = (label[other] != label[i]) & (100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i])) & (sizes[other] > 0)
         if two:
             ok &= side[other] != side[i]
         other = other[ok]
-        if signed is not None and len(other):
-            agree = (signed[other] == signed[i]).mean(1)
-            rank = np.argsort(-agree, kind="stable")
-            other = other[rank][agree[rank] >= least_agree]
-        own = values[bounds[i] : bounds[i + 1]]
-        for j in other.tolist():
-            if label[j] == label[i]:
-                continue
-            theirs = values[bounds[j] : bounds[j + 1]]
-            both = np.concatenate([own, theirs])
-            both.sort()
-            same = int((both[1:] == both[:-1]).sum())
-            if 100 * same >= percent * (len(both) - same):
+        if not len(other):
+            continue
+        mine = numbers[bounds[i] : bounds[i + 1]]
+        own[mine] = True
+        theirs = own[np.concatenate([numbers[bounds[j] : bounds[j + 1]] for j in other.tolist()])]
+        lead = np.concatenate([[0], np.cumsum(sizes[other])[:-1]])
+        same = np.add.reduceat(theirs, lead, dtype=np.int64)
+        own[mine] = False
+        for j in other[100 * same >= percent * (sizes[i] + sizes[other] - same)].tolist():
+            if label[j] != label[i]:
                 links.append((i, j))
                 label[label == label[j]] = label[i]
     return links
 
 
-def confirmed(rows: DataFrame, words: int, percent: int, least_agree: float) -> DataFrame:
+def confirmed(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b) links of the groups in `rows` (family, i, j, key, component, side, text)."""
 
     def close(group):
         keys, component, side, texts = (list(x) for x in zip(*group))
-        found = confirm(texts, np.array(component), np.array(side), words, percent, least_agree) if len(keys) > 1 else []
+        found = confirm(texts, np.array(component), np.array(side), words, percent) if len(keys) > 1 else []
         return [(keys[x], keys[y]) for x, y in found]
 
     def kernel(batches):
@@ -176,14 +171,14 @@ def _blocks(count: str, shingles: str, block_docs: int, block_shingles: int):
     return F.ceil(F.greatest(F.col(count) / block_docs, F.col(shingles) / block_shingles)).cast("int")
 
 
-def find_links(docs: DataFrame, families: DataFrame, scratch: Scratch, words: int, percent: int, least_agree: float, block_docs: int, block_shingles: int) -> DataFrame:
+def find_links(docs: DataFrame, families: DataFrame, scratch: Scratch, words: int, percent: int, block_docs: int, block_shingles: int) -> DataFrame:
     """(a, b): confirmed links that connect what is similar in each family. families: (key, family, n)."""
     stats = families.groupBy("family").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("family", _blocks("c", "s", block_docs, block_shingles).alias("nb"))
     placed = families.join(stats, "family").select("key", "family", "n", "nb", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int").alias("i"))
     placed = scratch.write(placed, "placed")
     texts = docs.select("key", "text").join(placed, "key")
     own = texts.select("family", "i", F.col("i").alias("j"), "key", F.col("key").alias("component"), F.lit(0).alias("side"), "text")
-    links = scratch.write(confirmed(own, words, percent, least_agree), "links")
+    links = scratch.write(confirmed(own, words, percent), "links")
     large = placed.filter("nb > 1")
     if large.isEmpty():
         return links
@@ -204,10 +199,10 @@ def find_links(docs: DataFrame, families: DataFrame, scratch: Scratch, words: in
         "key", "family", "component", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), F.when(F.col("at") <= F.col("with"), 0).otherwise(1).alias("side")
     )
     more = docs.select("key", "text").join(cross, "key").select("family", "i", "j", "key", "component", "side", "text")
-    return links.unionByName(scratch.write(confirmed(more, words, percent, least_agree), "links"))
+    return links.unionByName(scratch.write(confirmed(more, words, percent), "links"))
 
 
-def near_components(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT, least_agree: float = LEAST_AGREE, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def near_components(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(key, n_shingles, component) of every row of `docs` (key, doc_id, text)."""
     signed = scratch.write(signatures(docs, words), "signed")
     classes = signed.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
@@ -221,7 +216,7 @@ def near_components(docs: DataFrame, scratch: Scratch, words: int = WORDS, perce
     families = components(candidates, scratch).select(F.col("id").alias("key"), F.col("component").alias("family")).join(signed.select("key", "n"), "key")
     families = scratch.write(families, "families")
     scratch.drop(banded)
-    links = find_links(docs, families, scratch, words, percent, least_agree, block_docs, block_shingles)
+    links = find_links(docs, families, scratch, words, percent, block_docs, block_shingles)
     groups = components(links.unionByName(copies), scratch).withColumnRenamed("id", "key")
     return signed.select("key", F.col("n").alias("n_shingles")).join(groups, "key", "left").withColumn("component", F.coalesce("component", "key"))
 

@@ -131,6 +131,17 @@ def test_near_chains_and_odd_rows(spark):
         assert by_id(near_dedup.near_duplicates(docs, **options), "n_shingles", "component_id") == brute.near_components(rows)
 
 
+def test_near_pair_at_the_threshold_in_a_larger_group(spark):
+    rnd = random.Random(18014)  # its first two texts share a band, are similar by 0.75 and agree in 58 % of their minima
+    base = [f"t{rnd.randrange(10**6)}" for _ in range(74)]
+    texts = [base, [{20: "n1", 50: "n2"}.get(i, w) for i, w in enumerate(base)]]
+    texts += [[f"m{k}" if i == k else w for i, w in enumerate(base)] for k in (6, 11, 30, 35, 40, 60, 65, 68)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute.near_components(rows)
+    assert want[1] == (70, 0)
+    assert by_id(near_dedup.near_duplicates(frame_of(spark, rows)), "n_shingles", "component_id") == want
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
