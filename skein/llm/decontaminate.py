@@ -7,26 +7,32 @@ Items shorter than a window count as one window, found at the automaton states
 where they end. Tokens are skipped in numpy where no three of them in a row
 occur in the items, as no window can hold them.
 
-Items are collected to the driver only up to `shard_bytes` of text at once; a
-larger benchmark is scanned in shards of that size, whose hits are united, so
-what is broadcast stays bounded.
-
-Defined results: null, empty and wordless texts have no words and no hits; equal
-items count each with its id; a null item has no windows; an empty benchmark
-hits nothing; an empty table gives no rows; other columns are ignored.
+Items are collected to the driver only up to about `shard_bytes` of text at
+once; a larger benchmark is scanned in shards of that size, one after the other,
+whose hits are united, so what is collected and broadcast stays bounded. An
+item larger than that is cut into overlapping pieces under its id.
+
+Defined results: null, empty and wordless texts have no words and no hits; a very
+long text is scanned whole, within one batch; equal texts under two ids count
+with both, and equal items once; a null item text has no windows; items of null
+id are one item, which n_items counts and items_sha256 leaves out; an empty
+benchmark hits nothing; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grid
 from .runtime import Scratch, keyed, rebuilt
 
 WINDOW = 10
+WORD_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SHARD_BYTES = 4 << 20
 BITS = 22
 
@@ -198,7 +204,7 @@ def scan(docs: DataFrame, matcher) -> DataFrame:
                 for i, (hit, seen) in found.items():
                     if seen:
                         edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-                        names[i], words[i] = sorted(seen), edges.tolist()
+                        names[i], words[i] = sorted(seen, key=lambda x: (x is None, x or "")), edges.tolist()
                         at = before[i] + edges.reshape(-1, 2)
                         text = offsets[a + i] - base
                         spans[i] = np.stack([starts[at[:, 0]] - text, ends[at[:, 1] - 1] - text], 1).ravel().tolist()
@@ -210,33 +216,56 @@ def scan(docs: DataFrame, matcher) -> DataFrame:
     return docs.select("key", "text").mapInArrow(kernel, HITS)
 
 
-def _united(flat: list[list[int]]) -> list[int]:
-    """The union of flattened ranges as flattened ranges; touching ones are joined."""
-    out: list[int] = []
-    for lo, hi in sorted((x[i], x[i + 1]) for x in flat for i in range(0, len(x), 2)):
-        if out and lo <= out[-1]:
-            out[-1] = max(out[-1], hi)
-        else:
-            out += [lo, hi]
-    return out
+def united(lists: Column) -> Column:
+    """The union of lists of flattened ranges as flattened ranges; touching ones are joined."""
+    flat = F.flatten(lists)
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(flat) - 2, F.lit(2)), lambda i: F.struct(F.get(flat, i).alias("lo"), F.get(flat, i + 1).alias("hi"))))
+    none = F.array().cast("array<bigint>")
+
+    def step(done: Column, x: Column) -> Column:
+        joins = F.coalesce(x["lo"] <= done["hi"], F.lit(False))
+        closed = F.when(joins | done["hi"].isNull(), done["out"]).otherwise(F.concat(done["out"], F.array(done["lo"], done["hi"])))
+        return F.struct(closed.alias("out"), F.when(joins, done["lo"]).otherwise(x["lo"]).alias("lo"), F.when(joins, F.greatest(done["hi"], x["hi"])).otherwise(x["hi"]).alias("hi"))
+
+    start = F.struct(none.alias("out"), F.lit(None).cast("bigint").alias("lo"), F.lit(None).cast("bigint").alias("hi"))
+    merged = F.aggregate(pairs, start, step, lambda done: F.concat(done["out"], F.array(done["lo"], done["hi"])))
+    return F.when(F.size(flat) < 2, none).otherwise(merged)
+
+
+def shard_rows(benchmark: DataFrame, window: int, shard_bytes: int) -> DataFrame:
+    """(item_id, text): distinct items; one of more than `shard_bytes` comes in pieces that overlap by a window less a word."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").distinct()
+    words = F.filter(F.split("text", WORD_BREAK), lambda w: w != "")
+    step = max(window, shard_bytes // 16)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(step))
+    large = items.filter(F.octet_length("text") > shard_bytes).select("item_id", words.alias("words"))
+    pieces = large.select("item_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("words", i + 1, step + window - 1), " "))).alias("text"))
+    return items.filter(F.octet_length("text") <= shard_bytes).unionByName(pieces)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """HITS rows of all documents (key, text) against all items (item_id, text)."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
+    """HITS rows of all documents (key, text) against all items (item_id, text).
+
+    One shard's automaton lives at a time: its hits are written and its broadcast
+    is destroyed before the next one is built.
+    """
+    context = docs.sparkSession.sparkContext
+    items = scratch.write(shard_rows(benchmark, window, shard_bytes), "items")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("b")).first().b
     shards = max(1, -(-total // shard_bytes))
-    found = None
+    parts = []
     for s in range(shards):
         part = items if shards == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s)
-        rows = [(r.item_id or "", r.text) for r in part.collect()]  # about shard_bytes of text
-        own = scan(docs, docs.sparkSession.sparkContext.broadcast(Matcher(rows, window)))
-        found = own if found is None else found.unionByName(own)
+        matcher = context.broadcast(Matcher([(r.item_id, r.text) for r in part.collect()], window))  # about shard_bytes of text
+        parts.append(scratch.write(scan(docs, matcher), f"hits-{s}"))
+        matcher.destroy(blocking=True)
+    scratch.drop(items)
     if shards == 1:
-        return found
-    unite = F.udf(_united, "array<long>")
-    grouped = scratch.write(found, "hits").groupBy("key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.collect_list("words").alias("words"), F.collect_list("spans").alias("spans"))
-    return grouped.select("key", "n_words", "items", unite("words").alias("words"), unite("spans").alias("spans"))
+        return parts[0]
+    some = reduce(DataFrame.unionByName, [p.filter(F.size("items") > 0) for p in parts])
+    grouped = some.groupBy("key").agg(F.flatten(F.collect_list("items")).alias("items"), united(F.collect_list("words")).alias("words"), united(F.collect_list("spans")).alias("spans"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return parts[0].select("key", "n_words").join(grouped, "key", "left").select("key", "n_words", none("items", "string"), none("words", "bigint"), none("spans", "bigint"))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -247,15 +276,14 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("key", "n_words", n_hit.alias("n_hit"), F.size(F.array_distinct("items")).cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), "spans").withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def cut_spans(text: str | None, spans: list[int] | None) -> str | None:
-    """The text without its byte spans; what stood on both sides of one is kept apart by white space."""
-    if text is None or spans is None or not len(spans):
-        return text
-    raw, out, last = text.encode(), [], 0
-    for i in range(0, len(spans), 2):
-        out.append(raw[last : spans[i]])
-        last = spans[i + 1]
-    return b" ".join([*out, raw[last:]]).decode("utf-8", "ignore")
+def cut_spans(text: Column, spans: Column) -> Column:
+    """The text without its byte spans, which begin and end with words; what stood on both sides of one is kept apart by white space."""
+    raw = text.cast("binary")
+    odd = lambda n: F.filter(spans, lambda _, i: i % 2 == n)
+    starts = F.concat(F.array(F.lit(0).cast("bigint")), odd(1))
+    ends = F.concat(odd(0), F.array(F.octet_length(text).cast("bigint")))
+    kept = F.zip_with(starts, ends, lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "UTF-8"))
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, F.array_join(kept, " ")).otherwise(text)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -272,9 +300,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     own = keyed(docs, scratch, whole=True)
     spans = hits(own, benchmark, scratch, **options).filter(F.size("spans") > 0).select("key", "spans")
     joined = own.join(scratch.result(spans), "key", "left")
-    cut = F.pandas_udf(lambda texts, spans_: texts.combine(spans_, cut_spans), "string")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans"))
-    return rebuilt(joined.select("doc_id", text.alias("text"), "row"), docs, True)
+    return rebuilt(joined.select("doc_id", cut_spans(F.col("text"), F.col("spans")).alias("text"), "row"), docs, True)
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

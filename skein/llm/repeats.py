@@ -1,13 +1,9 @@
-"""Repeated windows of K tokens, exactly, through anchored k-mers.
+"""Text kernels of the two dedup operators on exact repeats: anchored windows, and taking them out.
 
 Every window of K tokens holds K-k+1 k-mers; its anchor is the leftmost one of
 smallest hash. Equal windows have equal anchors at equal offsets, so only the
-anchors (about 2/(K-k+2) of the positions) have to meet in a shuffle. Windows
-with one anchor are neighbours: they form a run, whose tokens together are its
-span. Runs with equal anchor and span have equal windows, one for one, and are
-one class. An anchor with one class does not branch: its windows repeat as often
-as the class does. Where an anchor branches into several classes, the windows of
-one run of each class are compared one by one.
+anchors (about 2/(K-k+2) of the positions) have to meet in a shuffle. The windows
+with one anchor are neighbours: they form a run.
 """
 
 from __future__ import annotations
@@ -21,12 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import grid
-from .runtime import POSITION_BITS, Scratch
+from .runtime import POSITION_BITS
 
 #: Tokens of a very long text that are looked at together; runs end there, which only makes classes of their own.
 SEGMENT, SLICE = 4 << 20, 1 << 20
-RUNS = "h long, span long, ord long, n int"
-WINDOWS = "h long, w long, ord long"
 
 
 class Tokens:
@@ -76,33 +70,46 @@ def anchors(values: np.ndarray, before: np.ndarray, window: int, k: int):
     return starts, grams[at], at
 
 
+class Spans:
+    """Hashes of token ranges of one flat array, each free of its place and told apart by its length."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.total = np.empty(len(values) + 1, np.uint64)
+        self.total[0] = 0
+        np.cumsum(values * grid.powers(grid.BASE, len(values)), out=self.total[1:])
+        self.back = grid.powers(grid.BASE_INV, len(values) + 1)
+
+    def of(self, lo: np.ndarray, hi: np.ndarray, salt=0) -> np.ndarray:
+        """Hash of [lo, hi) of each pair; `salt` (a number or one for each) keeps kinds of ranges apart."""
+        raw = (self.total[hi] - self.total[lo]) * self.back[lo]
+        shape = (hi - lo).astype(np.uint64) * np.uint64(0x100000001B3) + np.asarray(salt).astype(np.uint64)
+        return grid.mix(raw ^ grid.mix(shape + np.uint64(1)))
+
+
 def runs_of(values: np.ndarray, before: np.ndarray, window: int, k: int):
-    """(text index, start in text, windows, anchor hash, span hash) of every run."""
+    """(text index, first window's start, windows, anchor's start, anchor hash) of every run; starts in `values`."""
     starts, hashes, at = anchors(values, before, window, k)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none
+        return none, none, none, none, none.view(np.uint64)
     first = np.ones(len(starts), bool)
     first[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
     lead = np.flatnonzero(first)
-    count = np.diff(np.append(lead, len(starts)))
     begin = starts[lead]
-    end = begin + count - 1 + window
-    total = np.empty(len(values) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(values * grid.powers(grid.BASE, len(values)), out=total[1:])
-    span = (total[end] - total[begin]) * grid.powers(grid.BASE_INV, len(values))[begin]
-    shape = (at[lead] - begin).astype(np.uint64) * np.uint64(0x100000) + count.astype(np.uint64)
-    span = grid.mix(span ^ grid.mix(shape + np.uint64(1)))
-    text = np.searchsorted(before, begin, "right") - 1
-    return text, begin - before[text], count, hashes[lead].view(np.int64), span.view(np.int64)
+    return np.searchsorted(before, begin, "right") - 1, begin, np.diff(np.append(lead, len(starts))), at[lead], hashes[lead]
+
 
+def over_texts(docs: DataFrame, tokens: Tokens, schema: str, rows) -> DataFrame:
+    """What `rows` makes of the texts of (key, text), as `schema`.
 
-def find_runs(docs: DataFrame, tokens: Tokens) -> DataFrame:
-    """Runs of all texts of (key, text), as RUNS rows."""
+    rows(values, before, keys, first) gets the token hashes of some texts, the
+    tokens before each text, their keys and the place of the first token in its
+    text: a text of more than SEGMENT tokens comes in pieces, which overlap by
+    one token less than a window, so that each window lies in one piece.
+    """
+    names = [x.split()[0] for x in schema.split(",")]
 
     def parts(values: np.ndarray, before: np.ndarray):
-        """(first token, tokens, tokens before each text): long texts in overlapping segments."""
         if before[-1] <= SEGMENT or len(before) > 2:
             yield 0, values, before
             return
@@ -120,32 +127,9 @@ def find_runs(docs: DataFrame, tokens: Tokens) -> DataFrame:
                 own = raw[offsets[a] : offsets[b]]
                 values, before = (own, offsets[a : b + 1] - offsets[a]) if tokens.separators is None else tokens.of(own, offsets[a : b + 1] - offsets[a])[:2]
                 for first, piece, bounds in parts(values, before):
-                    piece = grid.BYTE_CODES[piece] if tokens.separators is None else piece
-                    text, start, count, h, span = runs_of(piece, bounds, tokens.window, tokens.anchor)
-                    ord_ = (keys[a + text] << POSITION_BITS) | (start + first)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(span), pa.array(ord_), pa.array(count.astype(np.int32))], names=["h", "span", "ord", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows(piece, bounds, keys[a:b], first)], names=names)
 
-    return docs.select("key", "text").mapInArrow(kernel, RUNS)
-
-
-def classify(runs: DataFrame, scratch: Scratch, since: int | None = None) -> DataFrame:
-    """(h, ord, n, copies, first, classes): the runs whose anchor occurs twice or more.
-
-    since: only anchors that occur at this ord or later, with all of their runs.
-    copies: runs in its class; first: the least ord of its class; classes: the
-    number of classes of its anchor, which branches if there are several. Counts
-    are pre-aggregated and written before they are joined, so that the joins are
-    plain shuffle joins, whose hot partitions adaptive execution can split.
-    """
-    again = F.col("c") > 1 if since is None else (F.col("c") > 1) & (F.col("last") >= since)
-    often = scratch.write(runs.groupBy("h").agg(F.count("*").alias("c"), *([] if since is None else [F.max("ord").alias("last")])).filter(again).select("h"), "often")
-    again = scratch.write(runs.join(often, "h"), "again")
-    classes = scratch.write(again.groupBy("h", "span").agg(F.count("*").alias("copies"), F.min("ord").alias("first")), "classes")
-    many = scratch.write(classes.groupBy("h").agg(F.count("*").alias("classes")).filter("classes > 1"), "many")
-    known = scratch.write(classes.join(many, "h", "left").withColumn("classes", F.coalesce("classes", F.lit(1))), "known")
-    out = scratch.write(again.join(known, ["h", "span"]).select("h", "ord", "n", "copies", "first", "classes"), "classified")
-    scratch.drop(often, again, classes, many, known)
-    return out
+    return docs.select("key", "text").mapInArrow(kernel, schema)
 
 
 def by_key(rows: DataFrame, *extra: str) -> DataFrame:
@@ -153,106 +137,6 @@ def by_key(rows: DataFrame, *extra: str) -> DataFrame:
     return rows.groupBy(F.shiftright("ord", POSITION_BITS).alias("key")).agg(F.collect_list(F.struct("ord", "n", *extra)).alias("runs"))
 
 
-CONTEXTS = "h long, ord long, classes long, context binary"
-
-
-def contexts(docs: DataFrame, probes: DataFrame, tokens: Tokens) -> DataFrame:
-    """CONTEXTS rows: the text of each run in `probes` (h, ord, n, classes), read at its coordinates."""
-    low = (1 << POSITION_BITS) - 1
-
-    def kernel(batches):
-        for batch in batches:
-            raw, offsets = grid.buffer_of(batch.column(0))
-            bounds = batch.column(1).offsets.to_numpy()
-            ords, counts, hashes, classes = (batch.column(1).values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            for a, b in grid.slices(offsets):
-                part = raw[offsets[a] : offsets[b]]
-                before, starts, ends = tokens.places(part, offsets[a : b + 1] - offsets[a])
-                own = slice(bounds[a], bounds[b])
-                first = np.repeat(before[:-1], np.diff(bounds[a : b + 1])) + (ords[own] & low)
-                last = first + counts[own] + tokens.window - 2
-                lo, hi = (first, last + 1) if starts is None else (starts[first], ends[last])
-                whole = part.tobytes()
-                found = [whole[x:y] for x, y in zip(lo.tolist(), hi.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[own]), pa.array(ords[own]), pa.array(classes[own]), pa.array(found, pa.binary())], names=["h", "ord", "classes", "context"])
-
-    joined = docs.select("key", "text").join(by_key(probes, "h", "classes"), "key").select("text", "runs")
-    return joined.mapInArrow(kernel, CONTEXTS)
-
-
-def _windows(contexts_: pa.Array, tokens: Tokens):
-    """(index of context, window's place in it, window hash) of all windows in the contexts."""
-    raw, offsets = grid.buffer_of(contexts_)
-    values, before, _, _ = tokens.of(raw, offsets)
-    starts = np.flatnonzero(window_starts(before, tokens.window))
-    context = np.searchsorted(before, starts, "right") - 1
-    return context, starts - before[context], grid.rolling(values, tokens.window)[starts]
-
-
-def _local(h: np.ndarray, ords: np.ndarray, texts: list, tokens: Tokens, later: bool):
-    """(ord, n) of the repeated windows among whole groups of contexts."""
-    context, place, w = _windows(pa.array(texts, pa.binary()), tokens)
-    key = grid.mix(h.view(np.uint64)[context] ^ grid.mix(w + np.uint64(grid.BASE)))
-    at = ords[context] + place
-    order = np.lexsort((at, key))
-    same = key[order][1:] == key[order][:-1]
-    hit = np.zeros(len(order), bool)
-    hit[order[1:][same]] = True
-    if not later:
-        hit[order[:-1][same]] = True
-    edge = np.ones(len(hit), bool)
-    edge[1:] = (context[1:] != context[:-1]) | ~hit[:-1]
-    lead = np.flatnonzero(hit & edge)
-    marks = np.cumsum(hit & edge)[hit]
-    return at[lead], np.bincount(marks, minlength=len(lead) + 1)[1:]
-
-
-#: Anchors with more classes than this are compared by shuffled window rows instead of in one task.
-LOCAL_CLASSES, LOCAL_BYTES = 2000, 1 << 19
-
-
-def repeated_in(found: DataFrame, tokens: Tokens, later: bool, scratch: Scratch, local_classes: int = LOCAL_CLASSES) -> DataFrame:
-    """(ord, n) of the windows in CONTEXTS rows that occur again (later: that occurred before) at the same anchor."""
-
-    def close(group):
-        h, ords = (np.array(x, np.int64) for x in (group[0], group[1]))
-        at, n = _local(h, ords, group[2], tokens, later)
-        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int32))], names=["ord", "n"])
-
-    def local(batches):
-        group, size = ([], [], []), 0
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in (0, 1, 3)]
-            for h, ord_, text in zip(*columns):
-                if size > LOCAL_BYTES and h != group[0][-1]:
-                    yield close(group)
-                    group, size = ([], [], []), 0
-                group[0].append(h)
-                group[1].append(ord_)
-                group[2].append(text)
-                size += len(text)
-        if group[0]:
-            yield close(group)
-
-    def rows(batches):
-        for batch in batches:
-            h, ords = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for a, b in grid.slices(grid.buffer_of(batch.column(3))[1]):
-                context, place, w = _windows(batch.column(3).slice(a, b - a), tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(h[a:b][context]), pa.array(w.view(np.int64)), pa.array(ords[a:b][context] + place)], names=["h", "w", "ord"])
-
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = found.filter(F.col("classes") <= local_classes)
-    out = few.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(local, "ord long, n int")
-    hot = found.filter(F.col("classes") > local_classes)
-    if hot.isEmpty():
-        return out
-    windows = scratch.write(hot.mapInArrow(rows, WINDOWS), "windows")
-    twice = scratch.write(windows.groupBy("h", "w").agg(F.min("ord").alias("first"), F.count("*").alias("c")).filter("c > 1"), "twice")
-    single = windows.join(twice, ["h", "w"])
-    return out.unionByName((single.filter("ord > first") if later else single).select("ord", F.lit(1).alias("n")))
-
-
 def covered(count: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """True for the tokens inside any [start, start + length)."""
     mark = np.zeros(count + 1, np.int32)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -18,12 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's checkpoint folder.
 
     It is read from spark.checkpoint.dir. Only where that is unset (tests, a
-    single machine) a temporary folder is made and set as checkpoint folder.
+    single machine) a temporary folder is made and set as checkpoint folder; on a
+    cluster that raises, as executors would write to disks of their own.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext.getCheckpointDir()
         if not current:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
             current = spark.sparkContext.getCheckpointDir()
         found = current
@@ -44,24 +48,30 @@ class Scratch:
     plans that nothing refers to any more.
     """
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
+    def __init__(self, spark: SparkSession, name: str, folder: str | None = None) -> None:
         self.spark = spark
         small_batches(spark)
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = folder or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.run = uuid.uuid4().hex[:6]
         self.count = 0
         self.live: dict[str, DataFrame] = {}
 
     def write(self, frame: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
         """keep: `result` does not drop it, as what the call returns reads it."""
         self.count += 1
-        path = f"{self.root}/{self.count:03d}-{name}"
+        path = f"{self.root}/{self.run}-{self.count:03d}-{name}"
         frame.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(frame.schema).parquet(path)
-        out._skein_path = path
+        out = self.open(path, frame.schema)
         if not keep:
             self.live[path] = out
         return out
 
+    def open(self, path: str, schema) -> DataFrame:
+        """A table that was written before; it stays unless it is dropped."""
+        out = self.spark.read.schema(schema).parquet(path)
+        out._skein_path = path
+        return out
+
     def result(self, frame: DataFrame) -> DataFrame:
         """Writes the last table of the call and drops all others."""
         rest = list(self.live.values())
@@ -106,6 +116,8 @@ def keyed(docs: DataFrame, scratch: Scratch, whole: bool = False) -> DataFrame:
     for row in sorted(counts.collect(), key=lambda r: r.part):  # one row for each partition
         before[row.part] = total
         total += row.n
+    if total > MAX_KEY:
+        raise ValueError(f"{total} rows are above the limit of {MAX_KEY}")
     offset = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.shiftright("at", 33)]
     return numbered.select((offset + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("key"), *own.columns)
 

@@ -1,5 +1,6 @@
 """The ten operators against brute force, and on odd, clashing and empty tables."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -8,6 +9,7 @@ import brute
 import cases
 import numpy as np
 import pytest
+from pyspark import Broadcast
 from pyspark.sql import functions as F
 from skein.llm import decontaminate, grid, language_id, license_scan, line_crf, near_dedup, packing, quality_rules, queries, repeats, substring_dedup, suffix_dedup, token_counts
 from skein.llm.components import components
@@ -164,35 +166,79 @@ def test_earlier_bytes_match_brute_force(spark, sf, batches):
     assert got == brute.earlier_bytes(rows, 100)
 
 
-def test_levels_merge_in_a_one_off_call(spark, monkeypatch):
-    rnd = random.Random(8)
+def pieced(seed, texts):
+    rnd = random.Random(seed)
     parts = ["".join(rnd.choice("abcdefgh ") for _ in range(150)) for _ in range(6)]
-    rows = [(i, "".join(rnd.choice(parts)[rnd.randrange(30) :] for _ in range(3)) + str(i)) for i in range(40)]
-    sizes, merge = [], suffix_dedup.SuffixFamily._merge
+    return [(i, "".join(rnd.choice(parts)[rnd.randrange(30) :] for _ in range(3)) + str(i)) for i in range(texts)]
+
+
+def test_levels_merge_in_a_one_off_call(spark, monkeypatch):
+    rows = pieced(8, 40)
+    sizes, merges, merge = [], [], suffix_dedup.SuffixFamily._merge
 
     def seen(family):
         merge(family)
         sizes.append([n for n, _ in family.levels])
+        merges.append(family.merges)
 
     monkeypatch.setattr(suffix_dedup.SuffixFamily, "_merge", seen)
     got = by_id(suffix_dedup.remove_earlier(frame_of(spark, rows)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == brute.earlier_bytes(rows, 100)
-    assert sizes == [[], [1], [2], [2, 1]]
-
-
-@pytest.mark.parametrize("local, segment", [(0, 40), (2000, 1 << 20)])
-def test_small_windows_over_a_small_alphabet(spark, local, segment, monkeypatch):
+    assert sizes == [[], [1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1]] and merges == [0, 0, 1, 1, 3, 3, 4, 4]
+
+
+def test_a_family_is_reopened_and_its_arrays_are_in_suffix_order(spark):
+    rows = pieced(9, 30)
+    docs = frame_of(spark, rows).select(F.col("doc_id").alias("key"), "text")
+    family = suffix_dedup.SuffixFamily(Scratch(spark, "t"))
+    for lo in (0, 7, 14):
+        family.add(docs.filter(f"key >= {lo} AND key < {lo + 7}"))
+    early = family.earlier(docs.filter("key < 21")).collect()
+    later = suffix_dedup.SuffixFamily.reopen(spark, family.save())
+    assert [n for n, _ in later.levels] == [2, 1] and later.last == 20
+    with pytest.raises(ValueError, match="not above"):
+        later.add(docs.filter("key = 20"))
+    later.add(docs.filter("key >= 21"))
+    windows = {r.ord + i for r in [*early, *later.earlier(docs).collect()] for i in range(r.n)}
+    seen, want = set(), set()
+    for k, t in rows:
+        for i in range(len(t) - 99):
+            want |= {(k << 27) + i} if t[i : i + 100] in seen else set()
+            seen.add(t[i : i + 100])
+    assert windows == want
+    texts = dict(rows)
+    for _, level in later.levels:
+        heads = [texts[r.ord >> 27][(r.ord & (1 << 27) - 1) + r.lead :][:16] for r in sorted(level.collect(), key=lambda r: (r.a1, r.a2))]
+        assert heads == sorted(heads) and len(heads) == level.distinct().count()
+
+
+@pytest.mark.parametrize("step, segment", [(1, 40), (3, 1 << 20), (10, 40)])
+def test_small_windows_over_a_small_alphabet(spark, step, segment, monkeypatch):
     monkeypatch.setattr(repeats, "SEGMENT", segment)
     monkeypatch.setattr(repeats, "SLICE", 1 if segment == 40 else 1 << 20)  # each text by itself, in segments
-    rnd = random.Random(local)
+    rnd = random.Random(step)
     rows = [(i, "".join(rnd.choice("ab ") for _ in range(rnd.randrange(120)))) for i in range(60)] + [(100, None), (101, "")]
-    keep = repeats.repeated_in
-    monkeypatch.setattr(repeats, "repeated_in", lambda a, b, c, d: keep(a, b, c, d, local))
     docs = frame_of(spark, rows)
-    assert by_id(suffix_dedup.remove_earlier(docs, 12, 5, 3), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.earlier_bytes(rows, 12)
+    assert by_id(suffix_dedup.remove_earlier(docs, 12, 5, 3, step=step), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.earlier_bytes(rows, 12)
     assert by_id(substring_dedup.remove_repeats(docs, 6, 2), "n_words", "n_removed", "kept_sha256") == brute.repeated_words(rows, 6)
 
 
+def test_paths_compact_and_their_spans_are_read(spark):
+    rnd = random.Random(4)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(900)]
+    other = [f"v{rnd.randrange(10**6)}" for _ in range(300)]
+    rows = [(0, " ".join(base)), (1, " \n ".join(base)), (2, " ".join(other[:100] + base[200:500] + other[100:])), (3, " ".join(other))]
+    docs = frame_of(spark, rows).select(F.col("doc_id").alias("key"), "text")
+    scratch, tokens = Scratch(spark, "t"), repeats.Tokens(35, 10, grid.SPACE)
+    again = substring_dedup.repeated(substring_dedup.vertices(docs, tokens), scratch)
+    paths = substring_dedup.compacted(again, 10, scratch)
+    totals = sorted(r.total for r in paths.select("path", "total").distinct().collect())
+    assert len(totals) <= 8 and totals[-1] > 350  # the text before, inside and after the shared passage, and of the rest
+    spans = substring_dedup.read(docs, substring_dedup.to_read(again, paths, 35, scratch), tokens)
+    assert spans.filter("n > 1").groupBy("h", "w").count().filter("count < 2").isEmpty()
+    assert by_id(substring_dedup.remove_repeats(frame_of(spark, rows)), "n_words", "n_removed", "kept_sha256") == brute.repeated_words(rows, 35)
+
+
 def test_equal_rows_and_null_ids_are_separate_documents(spark):
     docs = cases.clashing(spark)
     long_rows = [r for r in suffix_dedup.remove_earlier(docs).collect() if r.doc_id == 5]
@@ -259,6 +305,32 @@ def test_contamination_matches_brute_force(spark, sf, options):
         assert got == brute.contaminated(rows, [(r.item_id, r.text) for r in own.collect()])
 
 
+def test_shards_come_one_after_the_other(spark, monkeypatch):
+    made, alive = [], []
+    broadcast, destroy = type(spark.sparkContext).broadcast, Broadcast.destroy
+
+    def seen(context, value):
+        made.append(len(value.items))
+        alive.append(1 + (alive[-1] if alive else 0))
+        return broadcast(context, value)
+
+    def gone(self, blocking=False):
+        alive.append(alive[-1] - 1)
+        destroy(self, blocking)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", seen)
+    monkeypatch.setattr(Broadcast, "destroy", gone)
+    rnd = random.Random(6)
+    words = [f"k{rnd.randrange(500)}" for _ in range(3000)]
+    items = [("long", " ".join(words)), ("short", "k1 k2"), ("short", "k1 k2"), (None, " ".join(words[50:61])), ("", "k3 k4 k5"), ("none", None)]
+    rows = [(1, " ".join(words[100:400])), (2, "x " + " ".join(words[990:1040]) + " y"), (3, " ".join(words[50:61])), (4, None), (5, "K1, k2! k3 k4 k5"), (6, " ".join(words[2980:]))]
+    got = by_id(decontaminate.contamination(frame_of(spark, rows), spark.createDataFrame(items, "item_id string, text string"), shard_bytes=2000), "n_words", "n_hit", "n_items", "items_sha256")
+    want = brute.contaminated(rows, [(n if n is not None else "null id", t) for n, t in items])
+    assert {k: v[:3] for k, v in got.items()} == {k: v[:3] for k, v in want.items()}
+    assert got[1] == want[1] and got[3][3] == hashlib.sha256(b"long").hexdigest()
+    assert len(made) > 4 and max(alive) == 1 and alive[-1] == 0
+
+
 def test_cleaned_texts_have_no_hits(spark, sf):
     docs, items = documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")
     clean = decontaminate.clean(docs, items)

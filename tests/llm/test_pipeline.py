@@ -1,7 +1,5 @@
 """The corpus pipeline against a brute-force version of its stages."""
 
-import re
-
 import brute
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -43,7 +41,7 @@ def test_run_is_the_stages_one_after_the_other(spark, sf):
     assert out.filter("start = 0").count() == out.select("doc_id").distinct().count() and out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 4096
 
 
-def test_cut_spans():
-    assert decontaminate.cut_spans("one two three", [4, 7]) == "one   three"
-    assert decontaminate.cut_spans(None, [1, 2]) is None and decontaminate.cut_spans("é x", []) == "é x"
-    assert re.sub(" +", " ", decontaminate.cut_spans("a b c", [0, 1, 4, 5])) == " b "
+def test_cut_spans(spark):
+    rows = [("one two three", [4, 7]), (None, [1, 2]), ("é x", []), ("a b c", [0, 1, 4, 5]), ("ü é ö", [3, 5]), ("x", None)]
+    got = spark.createDataFrame(rows, "t string, s array<bigint>").select(decontaminate.cut_spans(F.col("t"), F.col("s")).alias("t")).collect()
+    assert [r.t for r in got] == ["one   three", None, "é x", "  b  ", "ü   ö", "x"]
