@@ -91,9 +91,17 @@ class Graph:
         return self.edges.join(ids.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
 
     def fact_views(self, provenance: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-        """(id, label, kind, source, edges, envelopes): a node with its sorted out-edges and envelopes."""
-        nodes = self.nodes if ids is None else self.nodes.join(ids.select("id").distinct(), "id", "left_semi")
-        out = self.edges.groupBy(F.col("source").alias("id")).agg(F.array_sort(F.collect_list(F.struct("target", "relation", "confidence"))).alias("edges"))
+        """(id, label, kind, source, edges, envelopes): a node with its sorted out-edges and envelopes.
+
+        With `ids`, edges and envelopes of other nodes go before anything is gathered.
+        """
+        nodes, edges = self.nodes, self.edges
+        if ids is not None:
+            wanted = ids.select("id").distinct()
+            nodes = nodes.join(wanted, "id", "left_semi")
+            edges = edges.join(wanted.withColumnRenamed("id", "source"), "source", "left_semi")
+            provenance = provenance.join(wanted.withColumnRenamed("id", "subject_id"), "subject_id", "left_semi")
+        out = edges.groupBy(F.col("source").alias("id")).agg(F.array_sort(F.collect_list(F.struct("target", "relation", "confidence"))).alias("edges"))
         kept = provenance.groupBy(F.col("subject_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", "asserting_agent", "basis", "algorithm"))).alias("envelopes"))
         none_e, none_p = (F.array().cast(frame.schema[c].dataType) for frame, c in ((out, "edges"), (kept, "envelopes")))
         return nodes.join(out, "id", "left").join(kept, "id", "left").withColumns({"edges": F.coalesce("edges", none_e), "envelopes": F.coalesce("envelopes", none_p)})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -64,14 +64,25 @@ class NodeIndex:
     def merge(self, pairs: DataFrame) -> NodeIndex:
         """Merges (from_id, into_id, seq) one after the other by seq: the survivor is interned first.
 
-        The pairs of one call must not take an id away that a later pair survives
-        in; chains across calls are resolved by `resolve`.
+        An id that a pair took away has a new life, with a new number, from its
+        next mention on, be that in this call or in a later one; of a pair with
+        itself nothing comes but the number.
         """
-        named = pairs.select(F.col("into_id").alias("node_id"), (F.col("seq") * 2).alias("first_seq")).unionByName(pairs.select(F.col("from_id").alias("node_id"), (F.col("seq") * 2 + 1).alias("first_seq")))
-        known = self.intern(named)
-        live = known._live()
-        gone = pairs.filter("from_id <> into_id").groupBy("from_id").agg(F.min_by("into_id", "seq").alias("into_id"), F.min("seq").alias("seq"))
-        gone = gone.join(live.select(F.col("node_id").alias("from_id"), F.col("u64")), "from_id").join(live.select(F.col("node_id").alias("into_id"), F.col("u64").alias("into")), "into_id")
+        dies = (F.col("from_id") != F.col("into_id")).cast("int")
+        ahead = pairs.select(F.col("into_id").alias("node_id"), "seq", (F.col("seq") * 2).alias("pos"), F.lit(0).alias("dies"))
+        mentions = ahead.unionByName(pairs.select(F.col("from_id").alias("node_id"), "seq", (F.col("seq") * 2 + 1).alias("pos"), dies.alias("dies")))
+        own = Window.partitionBy("node_id").orderBy("pos")
+        lives = settle(mentions.withColumn("life", F.coalesce(F.sum("dies").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")))
+        firsts = lives.groupBy("node_id", "life").agg(F.min("pos").alias("first"))
+        alive = self._live().select("node_id", F.lit(0).cast("long").alias("life"), "u64")
+        old = settle(firsts.join(alive, ["node_id", "life"]).select("node_id", "life", "u64"))
+        fresh = firsts.join(old.select("node_id", "life"), ["node_id", "life"], "left_anti")
+        new = settle(numbered(fresh, F.asc("first"), F.asc("node_id"), name="u64", start=self.capacity).select("node_id", "life", "u64"))
+        none = F.lit(None).cast("long")
+        table = self.table.unionByName(new.select("u64", "node_id", F.lit(LIVE).alias("state"), none.alias("into_u64"), none.alias("died_seq")))
+        known = NodeIndex(table, self.capacity + new.count(), self.deaths)
+        placed = lives.join(old.unionByName(new), ["node_id", "life"])
+        gone = placed.filter("dies = 1").select("seq", "u64").join(placed.filter("pos % 2 = 0").select("seq", F.col("u64").alias("into")), "seq")
         order = settle(numbered(gone, F.asc("seq"), F.asc("u64"), name="died", start=known.deaths).select("u64", "died", "into"))
         return known._bury(order, MERGED, order.count())
 

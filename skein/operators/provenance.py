@@ -22,8 +22,9 @@ def verified(provenance: DataFrame, registry: Registry, strict: bool = False) ->
     """Envelopes with `outcome`: unknown algorithm, else no attestations, else a bad signature, else valid.
 
     All attestations must hold under the envelope's algorithm. strict: the first
-    one must also be the asserting agent's. Signatures are checked in Arrow
-    batches; there is no shuffle.
+    one must also be the asserting agent's. A null list holds no attestations; a
+    null attestation, identity, signature or signed field is a bad signature.
+    Signatures are checked in Arrow batches; there is no shuffle.
     """
     names = registry.names()
 
@@ -32,13 +33,14 @@ def verified(provenance: DataFrame, registry: Registry, strict: bool = False) ->
         out = []
         for name, message, given in zip(algorithm, payload, attestations):
             verifier = registry.for_algorithm(name)
-            out.append(verifier is not None and all(verifier.verify(a["identity"], bytes(message), bytes(a["signature"])) for a in given))
+            whole = verifier is not None and message is not None and given is not None
+            out.append(whole and all(a is not None and a["identity"] is not None and a["signature"] is not None and verifier.verify(a["identity"], bytes(message), bytes(a["signature"])) for a in given))
         return pd.Series(out)
 
     rows = with_payload(provenance)
     good = all_hold("algorithm", "payload", "attestations")
     if strict:
-        good = good & (F.get("attestations", F.lit(0))["identity"] == F.col("asserting_agent"))
+        good = good & F.equal_null(F.get("attestations", F.lit(0))["identity"], F.col("asserting_agent"))
     outcome = F.when(~F.coalesce(F.col("algorithm").isin(names), F.lit(False)), "UnknownAlgorithm").when(F.coalesce(F.size("attestations"), F.lit(0)) < 1, "NoAttestations").when(good, "Valid").otherwise("BadSignature")
     return rows.withColumn("outcome", outcome).drop("payload")
 

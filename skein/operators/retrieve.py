@@ -65,18 +65,20 @@ ORDER = ("depth", "path", "k", "target", "relation")
 def rendered(all_lines: DataFrame, budget: int) -> DataFrame:
     """(at, line): the lines that start below `budget` bytes, then an ellipsis if a node starts at or above it.
 
-    A line has at least one byte, so only the first budget + 1 lines can matter;
-    the running sum is over those.
+    Lines of dangling nodes are empty: they take no place, but such a node can
+    still start at or above the budget. Of lines with at least one byte only
+    the first budget + 1 can matter; the running sum is over those, and those
+    before the last node tell whether it starts at or above the budget.
     """
-    first = all_lines.orderBy(*ORDER).limit(budget + 1)
+    place = F.struct(*ORDER)
+    first = all_lines.filter("line <> ''").orderBy(*ORDER).limit(budget + 1)
     order = Window.partitionBy(F.lit(0)).orderBy(*ORDER)  # budget + 1 rows at most
     before = F.coalesce(F.sum(F.octet_length("line")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = first.select((F.row_number().over(order) - 1).cast("long").alias("at"), "k", "line", before.alias("before"))
-    kept = placed.filter((F.col("before") < budget) & (F.col("line") != "")).select("at", "line")
-    cut = placed.agg(F.max(F.when(F.col("k") == 0, F.col("before"))).alias("last"), F.count("*").alias("n")).crossJoin(all_lines.agg(F.count("*").alias("all"), F.count_if(F.col("k") == 0).alias("nodes")))
-    # With lines beyond the first budget + 1, a later node exists unless all nodes are among them.
-    among = placed.agg(F.count_if(F.col("k") == 0).alias("seen"))
-    flag = cut.crossJoin(among).filter((F.col("last") >= budget) | (F.col("nodes") > F.col("seen")))  # one row each
+    placed = first.select((F.row_number().over(order) - 1).cast("long").alias("at"), "line", before.alias("before"))
+    kept = placed.filter(F.col("before") < budget).select("at", "line")
+    last = all_lines.filter("k = 0").agg(F.max(place).alias("last"))
+    ahead = last.join(first.select(place.alias("place"), F.octet_length("line").alias("bytes")), F.col("place") < F.col("last"), "left")  # one row with budget + 1 rows
+    flag = ahead.groupBy("last").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).filter(F.col("last").isNotNull() & (F.col("bytes") >= budget))
     return kept.unionByName(flag.select(F.lit((1 << 62)).cast("long").alias("at"), F.lit(ELLIPSIS).alias("line")))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import Grown, settle
 from .graph import Graph
 
 MEETS = {"min": (F.min, F.least), "max": (F.max, F.greatest), "bit_and": (F.bit_and, lambda a, b: a.bitwiseAND(b)), "bit_or": (F.bit_or, lambda a, b: a.bitwiseOR(b))}
@@ -22,38 +22,44 @@ def reach(graph: Graph, seeds: DataFrame, depth: int, degrees: DataFrame | None
     orders the nodes of one depth as a queue would have found them.
     """
     step = graph.edges.select(F.col("source").alias("id"), F.col("target"))
+    if degrees is None and hub is not None:
+        degrees = settle(graph.degrees())
     if hub is not None:
-        step = step.join((degrees if degrees is not None else graph.degrees()).filter(F.col("degree") <= hub).select("id"), "id", "left_semi")
+        step = step.join(degrees.filter(F.col("degree") <= hub).select("id"), "id", "left_semi")
+    step = settle(step.distinct())  # read once a level, instead of the graph's own plan
     known = settle(seeds.select("id", F.lit(0).alias("depth"), F.array(F.format_string("%010d", F.col("rank").cast("long"))).alias("path")))
-    front = known
+    front, known = known, Grown(known)
     for d in range(1, depth + 1):
         found = front.select("id", "path").join(step, "id").groupBy("target").agg(F.min("path").alias("path"))
-        fresh = found.withColumnRenamed("target", "id").join(known.select("id"), "id", "left_anti")
+        fresh = found.withColumnRenamed("target", "id").join(known.frame().select("id"), "id", "left_anti")
         front = settle(fresh.select("id", F.lit(d).alias("depth"), F.concat("path", F.array("id")).alias("path")))
         if front.isEmpty():
             break
-        known = known.unionByName(front)
-    return known
+        known.add(front)
+    return known.frame()
 
 
-def shortest_path(graph: Graph, start: str, goal: str, most_steps: int = 10_000) -> DataFrame:
-    """(at, id): the nodes of a shortest directed path, in order; no rows if there is none."""
+def shortest_path(graph: Graph, start: str, goal: str) -> DataFrame:
+    """(at, id): the nodes of a shortest directed path, in order; no rows if there is none.
+
+    It takes a round a step, until the goal is found or nothing new is.
+    """
     spark = graph.nodes.sparkSession
     both = [r.id for r in graph.nodes.filter(F.col("id").isin(start, goal)).select("id").distinct().collect()]  # two rows at most
     empty = spark.createDataFrame([], "at long, id string")
     if start not in both or goal not in both:
         return empty
-    front = known = settle(spark.createDataFrame([(start, [start])], "id string, path array<string>"))
-    for _ in range(most_steps):
+    front = settle(spark.createDataFrame([(start, [start])], "id string, path array<string>"))
+    known = Grown(front.select("id"))
+    step = settle(graph.edges.select(F.col("source").alias("id"), "target").distinct())
+    while not front.isEmpty():
         done = front.filter(F.col("id") == goal)
         if not done.isEmpty():
             return done.select(F.posexplode("path").alias("at", "id")).select(F.col("at").cast("long").alias("at"), "id")
-        found = front.join(graph.edges.select(F.col("source").alias("id"), "target"), "id").groupBy("target").agg(F.min("path").alias("path"))
-        fresh = found.withColumnRenamed("target", "id").join(known.select("id"), "id", "left_anti")
+        found = front.join(step, "id").groupBy("target").agg(F.min("path").alias("path"))
+        fresh = found.withColumnRenamed("target", "id").join(known.frame(), "id", "left_anti")
         front = settle(fresh.select("id", F.concat("path", F.array("id")).alias("path")))
-        if front.isEmpty():
-            return empty
-        known = known.select("id").unionByName(front.select("id"))
+        known.add(front.select("id"))
     return empty
 
 
@@ -61,19 +67,21 @@ def propagate(graph: Graph, seed: Column, meet: str = "min", edge_filter: Column
     """(id, value): `seed` (of a node's columns) carried along admitted edges until nothing changes.
 
     Each pass folds the sources' values of the pass before into the targets by an
-    idempotent, commutative, associative `meet`; dangling edge ends are passed
-    over. It stops after n + 1 passes at the latest.
+    idempotent, commutative, associative `meet`, so only sources that changed in
+    that pass send theirs again; dangling edge ends are passed over. It stops
+    after n + 1 passes at the latest.
     """
     gather, join = MEETS[meet]
     values = settle(graph.nodes.select("id", seed.alias("value")))
     admitted = graph.edges if edge_filter is None else graph.edges.filter(edge_filter)
     links = settle(admitted.select("source", "target").distinct())
     passes = most_passes if most_passes is not None else values.count() + 1
+    changed = values
     for _ in range(passes):
-        sent = links.join(values.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(gather("value").alias("arriving"))
+        sent = links.join(changed.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(gather("value").alias("arriving"))
         after = values.join(sent, "id", "left").withColumn("next", F.when(F.col("arriving").isNull(), F.col("value")).otherwise(join(F.col("value"), F.col("arriving"))))
         after = settle(after.select("id", F.col("next").alias("value"), (~F.col("next").eqNullSafe(F.col("value"))).alias("changed")))
-        values = after.select("id", "value")
-        if after.filter("changed").isEmpty():
+        values, changed = after.select("id", "value"), after.filter("changed").select("id", "value")
+        if changed.isEmpty():
             break
     return values

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..session import Grown, settle
 from .provenance import verified
 from .signatures import SCHEMES, Registry, TrustedVerifier
 
@@ -57,20 +58,21 @@ class TrustStore:
         return spark.createDataFrame(rows, schema.TRUST_IDS)
 
 
-def chained(identities: DataFrame, root: str, most_depth: int = 16) -> DataFrame:
+def chained(identities: DataFrame, root: str) -> DataFrame:
     """(identity, depth) of the rows of trust_ids that chain to the root, from the root down.
 
-    `most_depth` bounds the joins; delegation here is root, tenant, agent.
+    Only identities with a known key count, at every step. A round for each level
+    of delegation, each of them written; a cycle never hangs on the root.
     """
-    level = identities.filter(F.col("identity") == root).select("identity", F.lit(0).alias("depth"))
-    known = level
-    for depth in range(1, most_depth):
-        below = identities.filter(F.col("identity") != root).join(level.select(F.col("identity").alias("parent")), "parent", "left_semi").select("identity", F.lit(depth).alias("depth"))
-        level = below.join(known.select("identity"), "identity", "left_anti")
-        if level.isEmpty():
-            break
-        known = known.unionByName(level)
-    return known
+    keyed = settle(identities.filter(F.col("identity").isNotNull() & F.col("public_key").isNotNull()).select("identity", "parent").distinct())
+    level = settle(keyed.filter(F.col("identity") == root).select("identity", F.lit(0).alias("depth")).distinct())
+    known, depth = Grown(level), 0
+    while not level.isEmpty():
+        depth += 1
+        below = keyed.filter(F.col("identity") != root).join(level.select(F.col("identity").alias("parent")), "parent", "left_semi").select("identity", F.lit(depth).alias("depth")).distinct()
+        level = settle(below.join(known.frame().select("identity"), "identity", "left_anti"))
+        known.add(level)
+    return known.frame()
 
 
 def authorized(identities: DataFrame, root: str) -> DataFrame:

@@ -132,10 +132,21 @@ def _field(expression: str) -> str:
     return f"({_le32(f'octet_length(encode({expression}))')} || lower(hex(encode({expression}))))"
 
 
+def _checksum(message: str) -> str:
+    """Hex of the mock scheme's 64 bits, lowest byte first, over the bytes that `message` gives in hex."""
+    bytes_ = f"list_transform(range(length({message}) // 2), lambda i: ('0x' || substr({message}, (2 * i + 1)::BIGINT, 2))::INT::UHUGEINT)"
+    total = f"list_reduce(list_prepend(1469598103934665603::UHUGEINT, {bytes_}), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+    return "(" + " || ".join(f"lpad(lower(to_hex((({total}) // {256**k}::UHUGEINT % 256::UHUGEINT)::BIGINT)), 2, '0')" for k in range(8)) + ")"
+
+
 def _byte(expression: str) -> str:
     return f"lower(lpad(to_hex(({expression})::BIGINT), 2, '0'))"
 
 
+PAYLOAD = f"{_field('subject_id')} || {_field('agent')} || '01000000' || {_byte('basis')} || {_field('parent_hash')} || {_field('algorithm')}"
+SIGNED = f"""WITH {ENVELOPES}, paid AS (SELECT *, split_part(agent, ':', 2)::INT AS k, lower(hex(encode(agent))) || {PAYLOAD} AS message FROM env),
+    signed AS (SELECT *, CASE WHEN k % 6 = 5 THEN NULL WHEN k % 4 = 3 THEN lower(hex(encode('spoilt!!'))) ELSE {_checksum('message')} END AS signature FROM paid)"""
+VERDICT = "CASE WHEN algorithm <> 'mock-v1' THEN 'UnknownAlgorithm' WHEN signature IS NULL THEN 'NoAttestations' WHEN k % 4 = 3 THEN 'BadSignature' ELSE 'Valid' END"
 INTERNED = f"""ix AS (
         SELECT {NAT} AS node_id, row_number() OVER (ORDER BY n_nationkey, {NAT}) - 1 AS u64 FROM nation
         UNION ALL SELECT {SUP}, (SELECT count(*) FROM nation) + row_number() OVER (ORDER BY s_suppkey % 4, {SUP}) - 1 FROM supplier)"""
@@ -143,6 +154,10 @@ INTERNED = f"""ix AS (
 WEIGHTS = f"""{TRADES},
     lw AS (SELECT least(source, target) AS a, greatest(source, target) AS b, sum(({_case('confidence', [f'{s}::DOUBLE' for s in SCORES])})::FLOAT::DOUBLE) AS weight FROM te WHERE source <> target GROUP BY 1, 2)"""
 
+ENTRIES = f"""WITH {WEIGHTS}, ld AS (SELECT id, sum(weight) AS d FROM (SELECT a AS id, weight FROM lw UNION ALL SELECT b, weight FROM lw) GROUP BY id),
+            off AS (SELECT a, b, round(-weight / sqrt(x.d * y.d), 6) AS value FROM lw JOIN ld AS x ON a = x.id JOIN ld AS y ON b = y.id)
+            SELECT id AS a, id AS b, 1.0::DOUBLE AS value FROM tn UNION ALL SELECT a, b, value FROM off UNION ALL SELECT b, a, value FROM off"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -156,11 +171,11 @@ def oracle_sql() -> dict[str, str]:
         "node_upsert": f"{LOG} SELECT id, label, kind, source FROM nodes",
         "edge_upsert": f"{LOG} SELECT source, target, relation, confidence, seq::BIGINT AS seq FROM edges",
         "auto_endpoints": f"{LOG} SELECT id FROM nodes WHERE label = id AND kind = ''",
-        "graph_merge": f"SELECT {NAT} AS id, CASE WHEN right({NAT}, 1)::INT % 2 = 1 THEN n_name ELSE 'first ' || n_name END AS label, 'nation' AS kind FROM nation",
+        "graph_merge": f"{STAR} SELECT id, CASE WHEN kind = 'nation' AND right(id, 1)::INT % 2 = 0 THEN 'first ' || label ELSE label END AS label, kind FROM nodes",
         "graph_merge_edges": f"{STAR}, {TRADES} SELECT relation, count(*) AS edges, min(confidence)::INT AS least FROM (SELECT relation, confidence FROM edges UNION ALL SELECT relation, confidence FROM te) GROUP BY relation",
         "forget_node": f"""{STAR}, gone AS (SELECT {SUP} AS id FROM supplier WHERE s_suppkey % 3 = 0)
-            SELECT kind AS what, count(*) AS n FROM nodes WHERE id NOT IN (SELECT id FROM gone) GROUP BY 1
-            UNION ALL SELECT relation, count(*) FROM edges WHERE source NOT IN (SELECT id FROM gone) AND target NOT IN (SELECT id FROM gone) GROUP BY 1""",
+            SELECT id, kind FROM nodes WHERE id NOT IN (SELECT id FROM gone)
+            UNION ALL SELECT source || ' ' || target, relation FROM edges WHERE source NOT IN (SELECT id FROM gone) AND target NOT IN (SELECT id FROM gone)""",
         "node_by_id": f"{STAR} SELECT id, label, kind, NULL::VARCHAR AS source FROM nodes WHERE id = 'nation::nation_3'",
         "neighbors": f"{STAR} SELECT source, target, relation, confidence::INT AS confidence FROM edges WHERE source = 'supplier::supplier_000000001'",
         "node_kinds": f"{STAR} SELECT kind, count(*) AS nodes FROM nodes GROUP BY kind",
@@ -168,7 +183,7 @@ def oracle_sql() -> dict[str, str]:
         "node_ids": f"{STAR} SELECT id FROM nodes",
         "fact_view": f"""{STAR}, {ENVELOPES} SELECT n.id, n.label, coalesce(c, 0)::BIGINT AS n_edges, t AS first_target, coalesce(p, 0)::BIGINT AS n_envelopes FROM nodes AS n
             LEFT JOIN (SELECT source, count(*) AS c, min(target) AS t FROM edges GROUP BY source) AS e ON n.id = e.source
-            LEFT JOIN (SELECT subject_id, count(*) AS p FROM env GROUP BY 1) AS v ON n.id = v.subject_id WHERE kind IN ('nation', 'region', 'supplier')""",
+            LEFT JOIN (SELECT subject_id, count(*) AS p FROM env GROUP BY 1) AS v ON n.id = v.subject_id""",
         "degree": f"{STAR}, {DEGREES} SELECT id, degree FROM degrees",
         "hub_threshold": f"{STAR}, {DEGREES} SELECT hub_threshold FROM hub",
         "seed_scores": f"{SEEDED} SELECT id, round(score, 6) AS score FROM scored",
@@ -198,11 +213,27 @@ def oracle_sql() -> dict[str, str]:
         "trust_chain": f"WITH RECURSIVE {TRUSTED} SELECT identity, depth::INT AS depth FROM chain",
         "is_authorized": f"""WITH RECURSIVE {TRUSTED} SELECT ids.identity, coalesce(ids.scope, p.scope) AS namespace FROM ids JOIN chain ON ids.identity = chain.identity
             LEFT JOIN ids AS p ON ids.parent = p.identity WHERE coalesce(ids.scope, p.scope) IS NOT NULL""",
+        "verify_mock": f"""{SIGNED} SELECT subject_id, ord::BIGINT AS ord, {VERDICT} AS outcome, signature FROM signed""",
+        "verify_authorized": f"""{SIGNED} SELECT subject_id, ord::BIGINT AS ord, agent AS asserting_agent, CASE WHEN {VERDICT} <> 'Valid' THEN {VERDICT} WHEN k = 2 THEN 'Authorized' ELSE 'Unauthorized' END AS outcome FROM signed""",
+        "trust_store": f"""WITH t AS (
+                SELECT 'root' AS identity, 'root key' AS k, NULL AS parent, NULL AS scope
+                UNION ALL SELECT 'tenant:' || r_regionkey, 'key ' || r_regionkey, 'root', ['africa', 'america', 'asia', NULL, 'middle_east'][r_regionkey + 1] FROM region WHERE r_regionkey <> 3
+                UNION ALL SELECT 'agent:' || r_regionkey, 'agent key ' || r_regionkey, 'tenant:' || r_regionkey, NULL FROM region)
+            SELECT identity, 'mock-v1' AS algorithm, lower(hex(encode(k))) AS public_key, parent, scope, CASE WHEN identity IN ('root', 'tenant:0', 'agent:3') THEN lower(hex(encode(k))) END AS asked FROM t
+            UNION ALL SELECT 'tenant:3', NULL, NULL, NULL, NULL, NULL""",
+        "provenance_lookup": f"""WITH {ENVELOPES} SELECT 'nation::nation_3' AS what, unnest([0, 1, 2])::BIGINT AS n
+            UNION ALL SELECT 'all', count(*) + count(*) FILTER (WHERE ord = 0) FROM env UNION ALL SELECT 'none', 0""",
+        "index_lookup": f"""WITH {INTERNED}, k AS (SELECT {NAT} AS node_id FROM nation WHERE n_nationkey % 4 = 0)
+            SELECT u64::BIGINT AS u64, ix.node_id AS own, CASE WHEN k.node_id IS NULL THEN ix.node_id END AS node_id, k.node_id IS NOT NULL AS dead, CASE WHEN k.node_id IS NULL THEN u64 END::BIGINT AS found
+            FROM ix LEFT JOIN k ON ix.node_id = k.node_id UNION ALL SELECT count(*), 'nobody', NULL, false, NULL FROM ix""",
+        "trust_version": "SELECT 1 AS version",
+        "artifact_envelope_rows": f"""{SIGNED} SELECT subject_id, ord::BIGINT AS ord, {_field('subject_id')} || {_field('agent')} || {_byte('basis')} || {_field('parent_hash')} || {_field('algorithm')}
+            || CASE WHEN signature IS NULL THEN '00000000' ELSE '01000000' || {_field('agent')} || {_field("'agent-signs-action'")} || '08000000' || signature END AS record FROM signed""",
+        "fiedler": f"WITH {TRADES} SELECT id, 0.0::DOUBLE AS residual FROM tn",
         "artifact_node_rows": f"{STAR} SELECT id, {_field('id')} || {_field('label')} || {_field('kind')} || '00' AS record FROM nodes",
         "artifact_edge_rows": f"{STAR} SELECT source, target, relation, {_field('source')} || {_field('target')} || {_field('relation')} || {_byte('confidence')} AS record FROM edges",
         "artifact_roundtrip": f"WITH {TRADES} SELECT source, target, relation, confidence FROM te",
         "laplacian_weights": f"WITH {WEIGHTS} SELECT a, b, round(weight, 6) AS weight FROM lw",
-        "laplacian_entries": f"""WITH {WEIGHTS}, ld AS (SELECT id, sum(weight) AS d FROM (SELECT a AS id, weight FROM lw UNION ALL SELECT b, weight FROM lw) GROUP BY id),
-            off AS (SELECT a, b, round(-weight / sqrt(x.d * y.d), 6) AS value FROM lw JOIN ld AS x ON a = x.id JOIN ld AS y ON b = y.id)
-            SELECT id AS a, id AS b, 1.0::DOUBLE AS value FROM tn UNION ALL SELECT a, b, value FROM off UNION ALL SELECT b, a, value FROM off""",
+        "laplacian_entries": ENTRIES,
+        "embedding": ENTRIES,
     }

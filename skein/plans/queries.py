@@ -10,10 +10,12 @@ from ..functions import scalars as S
 from ..operators import provenance as P
 from ..operators import retrieve as R
 from ..operators import spectral, traverse
+from ..operators import trust as T
 from ..operators.graph import Graph
 from ..operators.index import NodeIndex
 from ..operators.signatures import MockScheme, Registry
-from ..operators.trust import authorized, chained
+from ..operators.trust import TrustStore, authorized, chained
+from ..session import settle
 from ..sources import artifact as A
 from ..sources.projection import product_log, quantity_tag, star_graph, tables, trade_graph, turn_graph
 
@@ -74,7 +76,7 @@ def _blanked(spark, d) -> Graph:
 
 def graph_merge(spark, d):
     merged = _blanked(spark, d).merge(star_graph(spark, d))
-    return merged.nodes.filter("kind = 'nation'").select("id", "label", "kind")
+    return merged.nodes.select("id", "label", "kind")
 
 
 def graph_merge_edges(spark, d):
@@ -86,8 +88,7 @@ def forget_node(spark, d):
     graph = star_graph(spark, d)
     (supplier,) = tables(spark, d, "supplier")
     left = graph.forget(supplier.filter("s_suppkey % 3 = 0").select(S.canonical(F.lit("supplier"), F.col("s_name")).alias("id")))
-    kinds = left.nodes.groupBy(F.col("kind").alias("what")).agg(F.count("*").alias("n"))
-    return kinds.unionByName(left.edges.groupBy(F.col("relation").alias("what")).agg(F.count("*").alias("n")))
+    return left.nodes.select("id", "kind").unionByName(left.edges.select(F.concat_ws(" ", "source", "target").alias("id"), F.col("relation").alias("kind")))
 
 
 def node_by_id(spark, d):
@@ -142,7 +143,7 @@ def signed_envelopes(spark: SparkSession, d: str) -> DataFrame:
 
 def fact_view(spark, d):
     graph = star_graph(spark, d)
-    views = graph.fact_views(envelopes(spark, d), graph.nodes.filter("kind IN ('nation', 'region', 'supplier')").select("id"))
+    views = graph.fact_views(envelopes(spark, d))
     return views.select("id", "label", F.size("edges").cast("long").alias("n_edges"), F.get("edges", F.lit(0))["target"].alias("first_target"), F.size("envelopes").cast("long").alias("n_envelopes"))
 
 
@@ -164,8 +165,9 @@ def seed_topk(spark, d):
 
 def bfs_reach(spark, d):
     graph = star_graph(spark, d)
-    hub = graph.hub_threshold().first().hub_threshold
-    return traverse.reach(graph, R.seeds(graph, WIDE), WIDE_DEPTH, graph.degrees(), hub).select("id", F.col("depth").cast("int").alias("depth"))
+    degrees = settle(graph.degrees())
+    hub = graph.hub_threshold(degrees).first().hub_threshold
+    return traverse.reach(graph, R.seeds(graph, WIDE), WIDE_DEPTH, degrees, hub).select("id", F.col("depth").cast("int").alias("depth"))
 
 
 def render_lines(spark, d):
@@ -216,11 +218,8 @@ def index_resolve(spark, d):
     (nation,) = tables(spark, d, "nation")
     name = lambda k: F.concat(F.lit("nation::nation_"), k.cast("string"))
     k = F.col("n_nationkey")
-    index, step = _interned(spark, d), nation.select("n_nationkey")
-    for turn in range(4):  # one call for each place in the chain, so that no survivor goes in the same call
-        pairs = step.filter(f"n_nationkey % 5 = {turn} AND n_nationkey < 24").select(name(k).alias("from_id"), name(k + 1).alias("into_id"), k.cast("long").alias("seq"))
-        index = index.merge(pairs)
-    return index.resolve().select("u64", "resolved")
+    pairs = nation.filter("n_nationkey % 5 < 4 AND n_nationkey < 24").select(name(k).alias("from_id"), name(k + 1).alias("into_id"), k.cast("long").alias("seq"))
+    return _interned(spark, d).merge(pairs).resolve().select("u64", "resolved")
 
 
 def index_counts(spark, d):
@@ -256,7 +255,42 @@ def is_authorized(spark, d):
 
 
 def verify_mock(spark, d):
-    return P.verified(signed_envelopes(spark, d), Registry([MockScheme()])).select("subject_id", "ord", "outcome")
+    rows = P.verified(signed_envelopes(spark, d), Registry([MockScheme()]))
+    return rows.select("subject_id", "ord", "outcome", S.hex_of(F.get("attestations", F.lit(0))["signature"]).alias("signature"))
+
+
+def _store() -> TrustStore:
+    """Root, four tenants (region 3 is not one) and an agent of each, all with the mock scheme."""
+    store = TrustStore("root", "mock-v1", b"root key")
+    for k, name in enumerate(("africa", "america", "asia", None, "middle_east")):
+        if name:
+            store.add_tenant(f"tenant:{k}", "mock-v1", f"key {k}".encode(), name)
+        store.add_agent(f"agent:{k}", "mock-v1", f"agent key {k}".encode(), f"tenant:{k}")
+    return store
+
+
+def trust_store(spark, d):
+    store = _store()
+    names = spark.createDataFrame([(n, *(store.public_key(n) or (None, None))) for n in ("root", "tenant:0", "tenant:3", "agent:3")], "identity string, scheme string, key binary")
+    return store.table(spark).join(names, "identity", "full").select("identity", "algorithm", S.hex_of(F.col("public_key")).alias("public_key"), "parent", "scope", S.hex_of(F.col("key")).alias("asked"))
+
+
+def verify_authorized(spark, d):
+    """Each envelope's verdict, the namespace asked being that of region 2."""
+    rows = T.verify_authorized(signed_envelopes(spark, d), F.lit("asia"), Registry([MockScheme()]), _store())
+    return rows.select("subject_id", "ord", "asserting_agent", "outcome")
+
+
+def provenance_lookup(spark, d):
+    """Envelopes inserted twice: how many there are, and those of one subject."""
+    rows = envelopes(spark, d)
+    both = P.inserted(rows, rows.filter("ord = 0"))
+    some = P.for_subject(both, "nation::nation_3").select(F.col("subject_id").alias("what"), F.col("ord").alias("n"))
+    return some.unionByName(P.size(both).select(F.lit("all").alias("what"), F.col("envelopes").alias("n"))).unionByName(P.size(P.for_subject(both, "nobody")).select(F.lit("none").alias("what"), F.col("envelopes").alias("n")))
+
+
+def artifact_envelope_rows(spark, d):
+    return signed_envelopes(spark, d).select("subject_id", "ord", S.hex_of(A.envelope_bytes()).alias("record"))
 
 
 def artifact_node_rows(spark, d):
@@ -282,17 +316,44 @@ def laplacian_entries(spark, d):
 
 
 def fiedler(spark, d):
-    return spectral.fiedler_vector(trade_graph(spark, d))
+    """What L v - c v leaves at each node, c the algebraic connectivity and v its vector: nothing."""
+    graph = trade_graph(spark, d)
+    c, v = spectral.algebraic_connectivity(graph), settle(spectral.fiedler_vector(graph))
+    moved = spectral.laplacian(graph).join(v.select(F.col("id").alias("b"), F.col("value").alias("v")), "b").groupBy(F.col("a").alias("id")).agg(F.sum(F.col("value") * F.col("v")).alias("moved"))
+    return v.join(moved, "id").select("id", F.round(F.abs(F.col("moved") - c * F.col("value")), 6).alias("residual"))
 
 
 def embedding(spark, d):
-    return spectral.spectral_embedding(trade_graph(spark, d), 3)[0]
+    """The Laplacian put together again from all coordinates: the sum of c x_a x_b over the eigenvalues c but the first, which is 0."""
+    graph = trade_graph(spark, d)
+    frame, values = spectral.spectral_embedding(graph, graph.nodes.count() - 1)
+    weights = F.array(*[F.lit(x) for x in values])
+    x = settle(frame)
+    pairs = x.select(F.col("id").alias("a"), F.col("coords").alias("x")).crossJoin(x.select(F.col("id").alias("b"), F.col("coords").alias("y")))  # 25 nations
+    dot = F.aggregate(F.zip_with(F.zip_with("x", "y", lambda p, q: p * q), weights, lambda p, c: p * c), F.lit(0.0), lambda s, p: s + p)
+    return pairs.select("a", "b", F.round(dot, 6).alias("value")).filter("abs(value) > 0.0000005")
+
+
+def index_lookup(spark, d):
+    """Each number with its live id, whether it is dead, and the number its id has now."""
+    (nation,) = tables(spark, d, "nation")
+    name = S.canonical(F.lit("nation"), F.col("n_name")).alias("node_id")
+    index = _interned(spark, d).tombstone(nation.filter("n_nationkey % 4 = 0").select(name, F.col("n_nationkey").cast("long").alias("seq")))
+    asked = index.table.select("u64", F.col("node_id").alias("own")).unionByName(spark.createDataFrame([(index.capacity, "nobody")], "u64 long, own string"))
+    by_number = index.id_of(asked).join(index.is_tombstoned(asked), "u64")
+    by_id = index.u64_of(asked.select(F.col("own").alias("node_id"))).select(F.col("node_id").alias("own"), F.col("u64").alias("found"))
+    return asked.join(by_number, "u64").join(by_id, "own").select("u64", "own", "node_id", "dead", "found")
+
+
+def trust_version(spark, d):
+    return spark.createDataFrame([(schema.TRUST_MAP_VERSION,)], "version int")
 
 
 _ALL = (
     canonical_ids, product_collisions, confidence_rubric, trust_levels, tokenize_labels, node_upsert, edge_upsert, auto_endpoints, graph_merge, graph_merge_edges, forget_node, node_by_id, neighbors,
     node_kinds, node_count, node_ids, fact_view, degree, hub_threshold, seed_scores, seed_topk, bfs_reach, render_lines, query_text, shortest_path, propagate_trust, index_intern, index_tombstone,
-    index_resolve, index_counts, signed_payload, provenance_counts, trust_chain, is_authorized, verify_mock, artifact_node_rows, artifact_edge_rows, artifact_roundtrip, laplacian_weights, laplacian_entries, fiedler, embedding,
+    index_resolve, index_counts, signed_payload, provenance_counts, trust_chain, is_authorized, verify_mock, trust_store, verify_authorized, provenance_lookup, index_lookup, trust_version,
+    artifact_node_rows, artifact_edge_rows, artifact_envelope_rows, artifact_roundtrip, laplacian_weights, laplacian_entries, fiedler, embedding,
 )
 
 

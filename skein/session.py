@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, a temporary folder of its own."""
+    """spark.checkpoint.dir of the session; only where it is unset on a single machine, a temporary folder of its own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.getCheckpointDir():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
         found = spark.sparkContext.getCheckpointDir()
     return str(found).rstrip("/")
@@ -35,6 +39,26 @@ def settle(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+class Grown:
+    """A frame that grows by written parts; parts of like age are written together, so that plans stay short.
+
+    After n parts about log2(n) + 4 frames are united, and each row was written
+    again at most log2(n) times.
+    """
+
+    def __init__(self, first: DataFrame) -> None:
+        self.parts = [(1, first)]
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append((1, part))
+        while len(self.parts) > 4 and self.parts[-1][0] >= self.parts[-2][0]:
+            (a, one), (b, two) = self.parts.pop(), self.parts.pop()
+            self.parts.append((a + b, settle(two.unionByName(one))))
+
+    def frame(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [x for _, x in self.parts])
+
+
 def numbered(frame: DataFrame, *order: Column, name: str = "at", start: int = 0) -> DataFrame:
     """`frame` with a dense number in the given order, without one partition for all rows.
 

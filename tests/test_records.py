@@ -1,5 +1,7 @@
 """Index, provenance, trust, signatures, container and spectra on small inputs."""
 
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +51,37 @@ def test_merge_interns_the_survivor_first_and_itself_is_nothing(spark):
     assert live(index.merge(pairs(spark, ("q", "q")))) == {"q": 0}
 
 
+def one_by_one(named):
+    """({u64: state}, {u64: resolved}) by pairs taken one after the other."""
+    live, into, state = {}, {}, {}
+    for a, b in named:
+        for x in (b, a):
+            if x not in live:
+                live[x] = len(state)
+                state[live[x]] = "live"
+        if a != b:
+            into[live[a]] = live[b]
+            state[live.pop(a)] = "merged"
+    end = {}
+    for u in state:
+        end[u] = u
+        while end[u] in into:
+            end[u] = into[end[u]]
+    return state, end
+
+
+@pytest.mark.parametrize("named", [[("b", "c"), ("a", "b")], [("a", "b"), ("a", "c"), ("b", "a"), ("c", "c"), ("a", "b"), ("b", "c"), ("c", "a")]])
+def test_merges_of_one_call_that_hang_together(spark, named):
+    state, end = one_by_one(named)
+    once = NodeIndex.empty(spark).merge(pairs(spark, *named))
+    several = NodeIndex.empty(spark)
+    for pair in named:
+        several = several.merge(pairs(spark, pair))
+    for index in (once, several):
+        assert {r.u64: r.state for r in index.table.collect()} == state and {r.u64: r.resolved for r in index.resolve().collect()} == end
+    assert sorted((r.u64, r.died_seq) for r in once.tombstones().collect()) == sorted((r.u64, r.died_seq) for r in several.tombstones().collect())
+
+
 def test_snapshot(spark, tmp_path):
     index = NodeIndex.empty(spark).intern(ids(spark, "a", "b")).tombstone(doomed(spark, "a"))
     index.snapshot(str(tmp_path / "index"))
@@ -56,23 +89,33 @@ def test_snapshot(spark, tmp_path):
     assert (back.capacity, back.deaths) == (2, 1) and sorted(back.table.collect()) == sorted(index.table.collect())
 
 
-def envelope(spark, subject="edge:x", agent="acme:receptionist", basis=2, parent=bytes.fromhex("deadbeef"), algorithm="mock-v1", signed=None):
+AGENT, PARENT = "harbour:pilot", bytes.fromhex("0a1b2c3d4e")
+
+
+def envelope(spark, subject="link:q7", agent=AGENT, basis=2, parent=PARENT, algorithm="mock-v1", signed=None):
     return spark.createDataFrame([(subject, 0, agent, basis, bytearray(parent), algorithm, [(i, "agent-signs-action", bytearray(s)) for i, s in signed or []])], schema.PROVENANCE)
 
 
-PAYLOAD = "06000000656467653a781100000061636d653a726563657074696f6e697374010000000204000000deadbeef070000006d6f636b2d7631"
-GOOD = ("acme:receptionist", bytes.fromhex("a9f119bde6d08eb6"))
+def checksum(*parts):
+    h = 1469598103934665603
+    for byte in b"".join(parts):
+        h = (h ^ byte) * 1099511628211 % 2**64
+    return h.to_bytes(8, "little")
+
+
+PAYLOAD = b"".join(struct.pack("<I", len(x)) + x for x in (b"link:q7", AGENT.encode(), b"\x02", PARENT, b"mock-v1"))
+GOOD = (AGENT, checksum(AGENT.encode(), PAYLOAD))
 
 
 def test_payload_and_mock_signature(spark):
     row = P.with_payload(envelope(spark)).first()
-    assert bytes(row.payload).hex() == PAYLOAD and MockScheme().sign(GOOD[0], bytes(row.payload)) == GOOD[1]
+    assert bytes(row.payload) == PAYLOAD and MockScheme().sign(GOOD[0], bytes(row.payload)) == GOOD[1]
 
 
 @pytest.mark.parametrize(
     "change, registry, want",
     [
-        ({}, True, "Valid"), ({"basis": 0}, True, "BadSignature"), ({"parent": bytes.fromhex("deadbeee")}, True, "BadSignature"), ({"subject": "edge:y"}, True, "BadSignature"),
+        ({}, True, "Valid"), ({"basis": 0}, True, "BadSignature"), ({"parent": PARENT[:-1]}, True, "BadSignature"), ({"subject": "link:q8"}, True, "BadSignature"),
         ({}, False, "UnknownAlgorithm"), ({"signed": []}, True, "NoAttestations"), ({"signed": [], "algorithm": "other"}, True, "UnknownAlgorithm"), ({"signed": [GOOD, ("x", b"bad")]}, True, "BadSignature"),
     ],
 )
@@ -82,15 +125,26 @@ def test_verify(spark, change, registry, want):
 
 
 def test_strict_ties_the_first_attestation_to_the_agent(spark):
-    other = ("someone", MockScheme().sign("someone", bytes.fromhex(PAYLOAD)))
+    other = ("someone", MockScheme().sign("someone", PAYLOAD))
     rows = envelope(spark, signed=[other])
     registry = Registry([MockScheme()])
     assert P.verified(rows, registry).first().outcome == "Valid" and P.verified(rows, registry, strict=True).first().outcome == "BadSignature"
 
 
+def test_envelopes_with_nulls(spark):
+    rows = [
+        ("a", 0, AGENT, 2, bytearray(PARENT), "mock-v1", None), ("b", 0, AGENT, 2, bytearray(PARENT), "mock-v1", [(AGENT, "r", None)]), ("c", 0, AGENT, 2, bytearray(PARENT), "mock-v1", [None]),
+        ("d", 0, AGENT, 2, None, "mock-v1", [(AGENT, "r", bytearray(b"x"))]), ("e", 0, AGENT, 2, bytearray(PARENT), None, []), ("f", 0, None, 2, bytearray(PARENT), "mock-v1", [(None, None, bytearray(b"x"))]),
+    ]
+    frame = spark.createDataFrame(rows, schema.PROVENANCE)
+    for strict in (False, True):
+        got = {r.subject_id: r.outcome for r in P.verified(frame, Registry([MockScheme()]), strict).collect()}
+        assert got == {"a": "NoAttestations", "b": "BadSignature", "c": "BadSignature", "d": "BadSignature", "e": "UnknownAlgorithm", "f": "BadSignature"}
+
+
 def test_subject_index(spark):
     both = P.inserted(envelope(spark), envelope(spark).unionByName(envelope(spark, subject="n")))
-    assert {(r.subject_id, len(r.envelopes)) for r in P.by_subject(both).collect()} == {("edge:x", 2), ("n", 1)}
+    assert {(r.subject_id, len(r.envelopes)) for r in P.by_subject(both).collect()} == {("link:q7", 2), ("n", 1)}
     assert P.for_subject(both, "none").count() == 0 and P.size(both).first().envelopes == 3
 
 
@@ -129,28 +183,36 @@ def test_lattice_sizes_and_transform():
 
 
 def store() -> tuple[TrustStore, dict[str, bytes]]:
-    secrets = {name: bytes([i]) * 32 for i, name in enumerate(("root", "tenant7", "agent", "impostor"))}
+    secrets = {name: bytes([i]) * 32 for i, name in enumerate(("root", "dock", "crane", "stowaway"))}
     keys = {n: Ed25519.public_key(s) for n, s in secrets.items()}
-    return TrustStore("root", "ed25519", keys["root"]).add_tenant("tenant7", "ed25519", keys["tenant7"], "tenant7").add_agent("agent", "ed25519", keys["agent"], "tenant7"), secrets
+    return TrustStore("root", "ed25519", keys["root"]).add_tenant("dock", "ed25519", keys["dock"], "east").add_agent("crane", "ed25519", keys["crane"], "dock"), secrets
 
 
 def test_trust_store_and_tables_agree(spark):
     trusted, _ = store()
-    assert [trusted.chains_to_root(x) for x in ("root", "tenant7", "agent", "impostor")] == [True, True, True, False]
-    assert [trusted.is_authorized(*x) for x in (("agent", "tenant7"), ("agent", "tenant9"), ("root", "tenant7"), ("tenant7", "tenant7"))] == [True, False, False, True]
+    assert [trusted.chains_to_root(x) for x in ("root", "dock", "crane", "stowaway")] == [True, True, True, False]
+    assert [trusted.is_authorized(*x) for x in (("crane", "east"), ("crane", "west"), ("root", "east"), ("dock", "east"))] == [True, False, False, True]
     table = trusted.table(spark)
-    assert {r.identity for r in chained(table, "root").collect()} == {"root", "tenant7", "agent"}
-    assert {tuple(r) for r in authorized(table, "root").collect()} == {("tenant7", "tenant7"), ("agent", "tenant7")}
-    assert {r.identity for r in chained(table.filter("identity <> 'tenant7'"), "root").collect()} == {"root"}
+    assert {r.identity for r in chained(table, "root").collect()} == {"root", "dock", "crane"}
+    assert {tuple(r) for r in authorized(table, "root").collect()} == {("dock", "east"), ("crane", "east")}
+    assert {r.identity for r in chained(table.filter("identity <> 'dock'"), "root").collect()} == {"root"}
+
 
+def test_deep_delegation_null_keys_and_cycles(spark):
+    rows = [("root", "a", bytearray(b"k"), None, None), *[(f"d{i}", "a", bytearray(b"k"), f"d{i - 1}" if i else "root", None) for i in range(20)]]
+    rows += [("keyless", "a", None, "root", "east"), ("below", "a", bytearray(b"k"), "keyless", None), ("x", "a", bytearray(b"k"), "y", None), ("y", "a", bytearray(b"k"), "x", None)]
+    table = spark.createDataFrame(rows, schema.TRUST_IDS)
+    assert {r.identity: r.depth for r in chained(table, "root").collect()} == {"root": 0, **{f"d{i}": i + 1 for i in range(20)}}
+    assert authorized(table, "root").count() == 0 and chained(table, "nobody").count() == 0
 
-@pytest.mark.parametrize("signer, namespace, want", [("agent", "tenant7", "Authorized"), ("agent", "tenant9", "Unauthorized"), ("impostor", "tenant7", "BadSignature")])
+
+@pytest.mark.parametrize("signer, namespace, want", [("crane", "east", "Authorized"), ("crane", "west", "Unauthorized"), ("stowaway", "east", "BadSignature")])
 def test_authorised_verdict(spark, signer, namespace, want):
     trusted, secrets = store()
-    unsigned = envelope(spark, agent="agent", algorithm="ed25519")
+    unsigned = envelope(spark, agent="crane", algorithm="ed25519")
     payload = bytes(P.with_payload(unsigned).first().payload)
     signature = SecretKeySigner("ed25519", secrets[signer]).sign(signer, payload)
-    rows = envelope(spark, agent="agent", algorithm="ed25519", signed=[(signer, signature)])
+    rows = envelope(spark, agent="crane", algorithm="ed25519", signed=[(signer, signature)])
     assert verify_authorized(rows, F.lit(namespace), trusted.registry(), trusted).first().outcome == want
 
 
@@ -177,19 +239,27 @@ def test_container_refuses(raw, kind):
 def test_container_round_trip(spark, tmp_path):
     graph = make(spark, [("a", 'say "hi"', "k", "src"), ("b", "é", "")], [("a", "b", "r", 3), ("a", "ghost", "r", 6)])
     index = NodeIndex.empty(spark).intern(ids(spark, "a", "b", "c", "d")).tombstone(doomed(spark, "c")).merge(pairs(spark, ("d", "b")))
-    signed = envelope(spark, subject="b", signed=[("x", bytes.fromhex("0123456789abcdef"))])
+    signed = envelope(spark, subject="b", signed=[("x", bytes.fromhex("13579bdf02468ace"))])
     made = Artifact.of(graph, index, signed.unionByName(envelope(spark, subject="a")))
     raw = made.to_bytes()
     back = Artifact.from_bytes(spark, raw)
     assert back.to_bytes() == raw and back.index.capacity == 4
     assert {r.u64: r.resolved for r in back.index.resolve().collect()} == {0: 0, 1: 1, 2: 2, 3: 1}
     text = made.to_json()
-    assert all(x in text for x in ('"hex"'.replace("hex", "deadbeef"), "0123456789abcdef", '\\"hi\\"', '"tombstoned": [2, 3]', '"merged_into": {"3": 1}', "Inferred(Reasonable)"))
+    assert all(x in text for x in (f'"{PARENT.hex()}"', "13579bdf02468ace", '\\"hi\\"', '"tombstoned": [2, 3]', '"merged_into": {"3": 1}', "Inferred(Reasonable)"))
     (tmp_path / "one.bin").write_bytes(raw)
     (tmp_path / "two.bin").write_bytes(A1)
     assert read_edges(spark, str(tmp_path)).count() == 3
 
 
+def test_the_last_record_of_a_node_counts(spark):
+    node = lambda *fields: b"".join(struct.pack("<I", len(x)) + x for x in fields) + b"\x00"
+    body = struct.pack("<I", 2) + node(b"a", b"old", b"") + node(b"a", b"new", b"k")
+    rest = A1[16 + struct.unpack("<I", A1[12:16])[0] :]
+    back = Artifact.from_bytes(spark, A1[:12] + struct.pack("<I", len(body)) + body + rest)
+    assert [(r.id, r.label, r.kind) for r in back.graph.nodes.collect()] == [("a", "new", "k")]
+
+
 TRIANGLES = [("a", "b"), ("b", "c"), ("a", "c"), ("d", "e"), ("e", "f"), ("d", "f")]
 
 
