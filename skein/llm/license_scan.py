@@ -1,13 +1,14 @@
 """Licence scans with a positional rare-token index (operator 7); DataFrame functions only.
 
-One pass over the texts keeps each document's occurrences of licence words, with
-their positions (words from 0). Document frequencies over all documents give the
-inverse document frequency of every licence word; the `RARE` rarest words of each
-template are its postings. Documents that hold such a word look their occurrences
-up in the postings; those that agree in relative position (position in the text
-less position in the template) add up, and a template is found where at least
-`LEAST_SHARE` of its rare words and all words of its mandatory key phrase stand at
-one relative position.
+One pass over the texts keeps each document's occurrences of licence words, the
+words of the templates and base phrases, with their positions (words from 0).
+Document frequencies over all documents rank the licence words by inverse
+document frequency. Each document looks up its own `RARE` licence words of
+highest IDF in the positional postings of the templates; places that agree in
+relative position (position in the text less position in the template) add up.
+A template is a candidate where at least `LEAST_SHARE` of the words looked up that
+it holds agree, and it is found there if each word of its mandatory key phrase
+stands at its place.
 
 The base rules are separate: the places where the words of a fixed phrase stand
 consecutively. `lower` also folds letters outside ASCII, which cannot make or
@@ -15,8 +16,9 @@ break such a place: of what it folds into ASCII letters, the Kelvin sign becomes
 a k, which no phrase holds, and a dotted capital I keeps its dot as a letter.
 
 Defined results: null, empty and wordless texts have no words, no places and no
-labels; equal rows are scanned one by one; an empty table gives no rows; other
-columns are ignored.
+labels; a very long text is scanned whole, as one row; licence words that are
+equally rare are ranked by the word itself; equal rows are scanned one by one; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,50 +29,69 @@ from pyspark.sql import functions as F
 from .quality_rules import let
 from .runtime import Scratch, keyed
 
-RARE, LEAST_SHARE = 6, 0.6
+RARE, LEAST_SHARE = 12, 0.6
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and labels of the base rules.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Notices of public licences (name, label, notice, key phrase).
+#: Notices of public licences (name, label, notice, key phrase), by words.
 TEMPLATES = (
     ("mit-line", "mit", "released under the mit license", "mit license"),
-    ("mit-grant", "mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted"),
+    (
+        "mit-grant", "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "permission is hereby granted free of charge",
+    ),
+    ("isc-grant", "isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute this software"),
     ("apache-line", "apache", "licensed under the apache license version", "apache license"),
+    (
+        "apache-notice", "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "you may not use this file except in compliance with the license",
+    ),
     ("gpl-line", "gpl", "licensed under the gnu general public license version", "gnu general public license"),
-    ("gpl-notice", "gpl", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
+    (
+        "gpl-notice", "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version",
+        "gnu general public license",
+    ),
     ("lgpl-line", "lgpl", "licensed under the gnu lesser general public license version", "gnu lesser general public license"),
     ("agpl-line", "agpl", "licensed under the gnu affero general public license version", "gnu affero general public license"),
     ("cc-by-line", "cc-by", "licensed under cc by", "cc by"),
     ("cc-by-nc-line", "cc-by-nc", "licensed under cc by nc", "cc by nc"),
     ("cc-by-sa-line", "cc-by-sa", "licensed under cc by sa", "cc by sa"),
     ("cc-by-name", "cc-by", "licensed under the creative commons attribution international license", "creative commons attribution"),
-    ("bsd-grant", "bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("mpl-line", "mpl", "subject to the terms of the mozilla public license", "mozilla public license"),
+    (
+        "bsd-grant", "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice",
+        "redistribution and use in source and binary forms",
+    ),
+    ("mpl-line", "mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
     ("unlicense", "unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-)
+)
 
 
-def _postings() -> list[tuple[str, str, str, int, bool]]:
-    """(template, label, word, position, in the key phrase) of every template word."""
+def _postings() -> list[tuple[int, str, int, bool]]:
+    """(template's place in TEMPLATES, word, position, in the key phrase) of every template word."""
     out = []
-    for name, label, notice, key in TEMPLATES:
+    for t, (_, _, notice, key) in enumerate(TEMPLATES):
         words, inner = notice.split(), key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(inner)] == inner)
-        out += [(name, label, w, i, at <= i < at + len(inner)) for i, w in enumerate(words)]
+        out += [(t, w, i, at <= i < at + len(inner)) for i, w in enumerate(words)]
     return out
 
 
 POSTINGS = _postings()
-LICENCE_WORDS = sorted({w for _, _, w, _, _ in POSTINGS} | {w for phrase, _ in PHRASES for w in phrase.split()})
-#: Words too common to be looked for unless a phrase needs them.
-PASSED = sorted({w for w in LICENCE_WORDS if len(w) <= 4} - {w for phrase, _ in PHRASES for w in phrase.split()} - {w for *_, w, _, key in POSTINGS if key})
-WANTED = [w for w in LICENCE_WORDS if w not in PASSED]
+#: A word's place here is its number below.
+LICENCE_WORDS = sorted({w for _, w, _, _ in POSTINGS} | {w for phrase, _ in PHRASES for w in phrase.split()})
+NUMBER = {w: n for n, w in enumerate(LICENCE_WORDS)}
 
 
 def occurrences(text: Column) -> Column:
-    """A struct of the word count of a text and its licence words (w, i) in order."""
+    """A struct of the word count of a text and its licence words (w: number, i: position) in order."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK), lambda w: w != "")
-    hit = lambda w, i: F.when(w.isin(WANTED), F.struct(w.alias("w"), i.cast("long").alias("i")))
+    number = lambda w: (F.array_position(F.array(*map(F.lit, LICENCE_WORDS)), w) - 1).cast("int")
+    hit = lambda w, i: F.when(w.isin(LICENCE_WORDS), F.struct(number(w).alias("w"), i.cast("long").alias("i")))
     return let(words, lambda x: F.struct(F.size(x).cast("long").alias("n_words"), F.filter(F.transform(x, hit), lambda h: h.isNotNull()).alias("hits")))
 
 
@@ -78,7 +99,7 @@ def places(hits: Column) -> Column:
     """An array of (label, i): where base phrases start."""
 
     def at(phrase: str, label: str) -> Column:
-        words = phrase.split()
+        words = [NUMBER[w] for w in phrase.split()]
 
         def start(h: Column, k: Column) -> Column:
             ok = h["w"] == words[0]
@@ -92,51 +113,53 @@ def places(hits: Column) -> Column:
     return F.concat(*[at(phrase, label) for phrase, label in PHRASES])
 
 
-def rare_postings(rows: DataFrame) -> DataFrame:
-    """(template, label, w, p, is_key, is_rare, need, n_key, n_rare): the words that are looked up.
-
-    rows: (hits). The frequency table has one row for each of the licence words.
-    """
-    spark = rows.sparkSession
+def idf_ranks(rows: DataFrame) -> list[int]:
+    """The rank of each licence word by inverse document frequency in (hits), 0 for the rarest."""
     counts = rows.select(F.explode(F.array_distinct("hits.w")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    frequency = {r.w: r.df for r in counts.collect()}  # at most len(WANTED) rows
-    out = []
-    for name, label, notice, key in TEMPLATES:
-        own = [x for x in POSTINGS if x[0] == name and x[2] in WANTED]
-        rare = sorted({x[2] for x in own}, key=lambda w: (frequency.get(w, 0), w))[:RARE]
-        n_key, n_rare = sum(x[4] for x in own), sum(x[2] in rare for x in own)
-        out += [(name, label, w, p, is_key, w in rare, n_key, n_rare) for _, _, w, p, is_key in own if is_key or w in rare]
-    return spark.createDataFrame(out, "template string, label string, w string, p long, is_key boolean, is_rare boolean, n_key long, n_rare long")
-
-
-def found_templates(rows: DataFrame, postings: DataFrame) -> DataFrame:
-    """(key, labels, share): labels of the templates found in (key, hits), and the best share of rare words."""
-    rare = [r.w for r in postings.filter("is_rare").select("w").distinct().collect()]  # licence words
-    some = rows.filter(F.exists("hits", lambda h: h["w"].isin(rare)))
-    hits = some.select("key", F.explode("hits").alias("h")).select("key", "h.w", "h.i")
-    votes = hits.join(F.broadcast(postings), "w")  # a constant of this module
-    aligned = votes.groupBy("key", "template", (F.col("i") - F.col("p")).alias("shift")).agg(
-        F.first("label").alias("label"), F.first("n_key").alias("n_key"), F.first("n_rare").alias("n_rare"), F.sum(F.col("is_key").cast("long")).alias("keys"), F.sum(F.col("is_rare").cast("long")).alias("rares")
-    )
-    good = aligned.filter((F.col("keys") == F.col("n_key")) & (F.col("rares") >= LEAST_SHARE * F.col("n_rare")))
-    return good.groupBy("key").agg(F.collect_set("label").alias("labels"), F.max(F.col("rares") / F.col("n_rare")).alias("share"))
-
-
-def scan(docs: DataFrame) -> DataFrame:
+    frequency = {r.w: r.df for r in counts.collect()}  # a row for each licence word
+    rarest = sorted(NUMBER.values(), key=lambda n: (frequency.get(n, 0), n))
+    return [rank for _, rank in sorted((n, rank) for rank, n in enumerate(rarest))]
+
+
+def candidates(rows: DataFrame, ranks: list[int], rare: int, least_share: float) -> DataFrame:
+    """(key, found): the places (t, shift, share) where enough of the rare words of (key, hits) agree with template t."""
+    rank = lambda w: F.get(F.array(*map(F.lit, ranks)), w)
+    own = F.slice(F.array_sort(F.transform(F.array_distinct("hits.w"), rank)), 1, rare)
+    some = rows.filter(F.size("hits") > 0).select("key", "hits", own.alias("own"))
+    looked = some.select("key", F.explode(F.filter("hits", lambda h: rank(h["w"]) <= F.array_max("own"))).alias("h")).select("key", "h.w", "h.i")
+    posts = rows.sparkSession.createDataFrame([(t, NUMBER[w], p) for t, w, p, _ in POSTINGS], "t int, w int, p long")
+    votes = looked.join(F.broadcast(posts), "w")  # a constant of this module
+    agreed = votes.groupBy("key", "t", (F.col("i") - F.col("p")).alias("shift")).agg(F.collect_set("w").alias("ws"))  # at most `rare` words
+    asked = agreed.groupBy("key", "t").agg(F.array_distinct(F.flatten(F.collect_set("ws"))).alias("all"), F.collect_list(F.struct("shift", F.size("ws").alias("n"))).alias("at"))  # of one document
+    each = F.transform("at", lambda x: F.struct(F.col("t"), x["shift"].alias("shift"), (x["n"] / F.size("all")).alias("share")))
+    good = asked.select("key", F.filter(each, lambda x: x["share"] >= least_share).alias("found"))
+    return good.groupBy("key").agg(F.flatten(F.collect_list("found")).alias("found"))
+
+
+def verified(hits: Column, found: Column) -> Column:
+    """Of the places in `found` those where each word of the template's key phrase stands at its place."""
+    keys = [[(NUMBER[w], p) for t, w, p, is_key in POSTINGS if is_key and t == own] for own in range(len(TEMPLATES))]
+    table = F.array(*[F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).cast("long").alias("p")) for w, p in k]) for k in keys])
+    stands = lambda x, k: F.exists(hits, lambda h: (h["i"] == x["shift"] + k["p"]) & (h["w"] == k["w"]))
+    return F.filter(found, lambda x: F.forall(F.get(table, x["t"]), lambda k: stands(x, k)))
+
+
+def scan(docs: DataFrame, rare: int = RARE, least_share: float = LEAST_SHARE) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row of `docs`."""
     scratch = Scratch(docs.sparkSession, "licences")
     rows = scratch.write(keyed(docs, scratch).select("key", "doc_id", occurrences(F.col("text")).alias("x")).select("key", "doc_id", "x.*"), "hits")
-    found = found_templates(rows, rare_postings(rows))
-    based = rows.select("key", "doc_id", "n_words", let(F.col("hits"), places).alias("base"))
-    both = based.join(found, "key", "left")
-    own = F.coalesce("labels", F.array().cast("array<string>"))
+    found = candidates(rows, idf_ranks(rows), rare, least_share)
+    both = rows.join(found, "key", "left").select("doc_id", "n_words", let(F.col("hits"), places).alias("base"), verified(F.col("hits"), F.col("found")).alias("found"))
+    label = F.array(*[F.lit(label) for _, label, _, _ in TEMPLATES])
+    own = F.coalesce(F.transform("found", lambda x: F.get(label, x["t"])), F.array().cast("array<string>"))
     join = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     return scratch.result(
         both.select(
             "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base.i").alias("first_word"), F.array_max("base.i").alias("last_word"),
-            join(F.col("base.label")).alias("base_labels"), join(F.concat("base.label", own)).alias("labels"), F.greatest(F.when(F.size("base") > 0, 0.5).otherwise(0.0), F.coalesce("share", F.lit(0.0))).alias("score"),
+            join(F.col("base.label")).alias("base_labels"), join(F.concat("base.label", own)).alias("labels"),
+            F.greatest(F.when(F.size("base") > 0, 0.5).otherwise(0.0), F.coalesce(F.array_max("found.share"), F.lit(0.0))).alias("score"),
         )
-    )
+    )
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -145,8 +168,8 @@ def op7_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     """The same rows in DuckDB SQL."""
-    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
-    posts = ", ".join(f"('{t}', '{label}', '{w}', {p}, {str(key).lower()})" for t, label, w, p, key in POSTINGS if w in WANTED)
+    quoted = ", ".join(f"'{w}'" for w in LICENCE_WORDS)
+    posts = ", ".join(f"({t}, '{TEMPLATES[t][1]}', '{w}', {p}, {str(key).lower()})" for t, w, p, key in POSTINGS)
     bases = " UNION ALL ".join(
         f"SELECT doc_id, i, '{label}' AS label FROM h WHERE "
         + " AND ".join([f"w = '{words[0]}'", *[f"(doc_id, '{w}', i + {n}) IN (SELECT doc_id, w, i FROM h)" for n, w in enumerate(words[1:], 1)]])
@@ -154,23 +177,20 @@ def _sql() -> str:
     )
     return f"""
     WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS words FROM documents),
-    h AS (SELECT doc_id, w, i FROM (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM d) WHERE w IN ({quoted(WANTED)})),
+    h AS (SELECT doc_id, w, i FROM (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM d) WHERE w IN ({quoted})),
     b AS ({bases}),
     bs AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM b GROUP BY doc_id),
-    t(template, label, w, p, is_key) AS (VALUES {posts}),
-    df AS (SELECT w, count(DISTINCT doc_id) AS df FROM h GROUP BY w),
-    r AS (
-        SELECT template, w FROM (
-            SELECT template, x.w, row_number() OVER (PARTITION BY template ORDER BY coalesce(df, 0), x.w) AS k
-            FROM (SELECT DISTINCT template, w FROM t) AS x LEFT JOIN df ON x.w = df.w)
-        WHERE k <= {RARE}),
-    p AS (
-        SELECT t.*, r.w IS NOT NULL AS is_rare, sum(is_key::INT) OVER (PARTITION BY t.template) AS n_key, sum((r.w IS NOT NULL)::INT) OVER (PARTITION BY t.template) AS n_rare
-        FROM t LEFT JOIN r ON t.template = r.template AND t.w = r.w),
-    a AS (
-        SELECT doc_id, template, i - p.p AS shift, first(label) AS label, first(n_key) AS n_key, first(n_rare) AS n_rare, sum(is_key::INT) AS keys, sum(is_rare::INT) AS rares
-        FROM h JOIN p ON h.w = p.w WHERE is_key OR is_rare GROUP BY doc_id, template, i - p.p),
-    f AS (SELECT doc_id, list(DISTINCT label) AS labels, max(rares / n_rare) AS share FROM a WHERE keys = n_key AND rares >= {LEAST_SHARE} * n_rare GROUP BY doc_id)
+    t(t, label, w, p, is_key) AS (VALUES {posts}),
+    df AS (SELECT w, row_number() OVER (ORDER BY count(DISTINCT doc_id), w) AS rank FROM h GROUP BY w),
+    own AS (SELECT doc_id, w FROM (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS k FROM (SELECT DISTINCT doc_id, w FROM h) JOIN df USING (w)) WHERE k <= {RARE}),
+    v AS (SELECT h.doc_id, t.t, i - p AS shift, h.w FROM h JOIN own ON h.doc_id = own.doc_id AND h.w = own.w JOIN t ON h.w = t.w),
+    a AS (SELECT doc_id, t, shift, count(DISTINCT w) AS n FROM v GROUP BY ALL),
+    m AS (SELECT doc_id, t, count(DISTINCT w) AS m FROM v GROUP BY ALL),
+    c AS (SELECT a.doc_id, a.t, shift, n / m AS share FROM a JOIN m ON a.doc_id = m.doc_id AND a.t = m.t WHERE n / m >= {LEAST_SHARE}),
+    bad AS (SELECT DISTINCT c.doc_id, c.t, c.shift FROM c JOIN t ON c.t = t.t AND is_key LEFT JOIN h ON h.doc_id = c.doc_id AND h.i = c.shift + t.p AND h.w = t.w WHERE h.w IS NULL),
+    f AS (
+        SELECT c.doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM c JOIN (SELECT DISTINCT t, label FROM t) AS l ON c.t = l.t
+        LEFT JOIN bad ON c.doc_id = bad.doc_id AND c.t = bad.t AND c.shift = bad.shift WHERE bad.t IS NULL GROUP BY c.doc_id)
     SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
            coalesce(array_to_string(bs.labels, ','), '') AS base_labels,
            coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(bs.labels, []), coalesce(f.labels, [])))), ','), '') AS labels,

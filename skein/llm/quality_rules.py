@@ -2,15 +2,16 @@
 
 Every text is measured in one pass of built-in functions. The rates (in
 thousandths, or tenths of a character) are counted into quantile sketches, one
-per language, source and rate: histograms of fixed bins, exact below 128 and
-eight wide above, so that two sketches merge by adding counts. The rows of a hot
-source collapse to at most 238 bins a rate before they are shuffled. Thresholds
+per language, source and rate: counts of bins that are exact below 128 and a 64th
+of their value wide at most above, so that two sketches merge by adding counts,
+in any order and to the same result, and a quantile is off by a 64th at most.
+The rows of a hot source collapse to its bins, at most 3,776 for any 64-bit
+value, before they are shuffled. Thresholds
 follow from the quartiles: a text is rejected where a rate is beyond its median
 by more than `spread` times the distance from the median to its nearer quartile,
 and by more than that rate's own slack. Junk on less than half of a group leaves
 one quartile clean, so it cannot widen the limits past a clean quartile's; junk on
-more than half is the group's norm. OP1_SQL takes the outer quartile instead; the
-rows differ only where that distance is the larger one and exceeds the slack.
+more than half is the group's norm.
 Groups of fewer than `least_rows` texts take the merged sketch of their language,
 and languages as small the sketch of all.
 
@@ -20,8 +21,10 @@ value of either. They are broadcast when counting them shows at most
 adaptive execution can split.
 
 Defined results: null, empty and blank texts have no words and fail the base
-rules; equal rows get equal verdicts; an empty table gives no rows; extra columns
-are kept by `filter_documents` and ignored elsewhere.
+rules; a very long text is measured whole, as one row; a null language or source
+is a group like any other; a rate that ties with its limit passes; equal rows
+get equal verdicts; an empty table gives no rows; extra columns are kept by
+`filter_documents` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -114,17 +117,23 @@ def measured(docs: DataFrame, *keep) -> DataFrame:
     )
 
 
+def bin_of(v: Column) -> Column:
+    """The least value of v's bin: v itself below 128, else v with all but its first seven bits cleared."""
+    low = F.greatest(F.length(F.bin(v)) - 7, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", v, low), low)
+
+
 def sketches(rows: DataFrame) -> DataFrame:
     """(lang, source, rate, bin, c) counts of the texts that pass the base rules."""
     rates = F.explode(F.array(*[F.struct(F.lit(name).alias("rate"), F.col(name).alias("v")) for name, _, _ in RATES])).alias("x")
-    binned = rows.filter("NOT base_failed").select("lang", "source", rates).select("lang", "source", "x.rate", F.when(F.col("x.v") < 128, F.col("x.v")).otherwise(F.col("x.v") - F.col("x.v") % 8).alias("bin"))
+    binned = rows.filter("NOT base_failed").select("lang", "source", rates).select("lang", "source", "x.rate", bin_of(F.col("x.v")).alias("bin"))
     return binned.groupBy("lang", "source", "rate", "bin").agg(F.count("*").alias("c"))
 
 
 def _quartiles(counts: DataFrame, by: list[str]) -> DataFrame:
     """(by, rate, total, q25, q50, q75) of sketches merged by `by`."""
     merged = counts.groupBy(*by, "rate", "bin").agg(F.sum("c").alias("c"))
-    lists = merged.groupBy(*by, "rate").agg(F.sum("c").alias("total"), F.sort_array(F.collect_list(F.struct("bin", "c"))).alias("bins"))  # at most 238 bins
+    lists = merged.groupBy(*by, "rate").agg(F.sum("c").alias("total"), F.sort_array(F.collect_list(F.struct("bin", "c"))).alias("bins"))  # at most 3,776 bins
 
     def quantile(percent: int) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("bin"))
@@ -178,15 +187,14 @@ def quality(docs: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that the rules keep, all columns unchanged.
 
-    The texts are read twice, once for the sketches and once for the verdict, and
-    are never shuffled.
+    The texts are measured once and written with their counts, of which the
+    sketches read the counts alone; texts are never shuffled.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    lang, source = docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source")
-    counts = scratch.write(sketches(measured(docs, lang, source)), "sketches")
-    limits = scratch.write(thresholds(counts), "limits")
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("_skein_row")
-    return judged(measured(docs, whole, lang, source), limits).filter("kept").select("_skein_row.*")
+    rows = scratch.write(measured(docs, whole, docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source")), "rows")
+    limits = scratch.write(thresholds(scratch.write(sketches(rows.drop("_skein_row")), "sketches")), "limits")
+    return judged(rows, limits).filter("kept").select("_skein_row.*")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -196,7 +204,7 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     """The same rows in DuckDB SQL, by counting whole windows instead of hashes."""
-    rate = "CASE WHEN v < 128 THEN v ELSE v - v % 8 END"
+    rate = "CASE WHEN v < 128 THEN v ELSE (v >> (length(bin(v)) - 7)) << (length(bin(v)) - 7) END"
     unions = " UNION ALL ".join(f"SELECT lang, source, '{name}' AS rate, {name} AS v FROM m WHERE NOT base_failed" for name, _, _ in RATES)
 
     def quartiles(name: str, by: str) -> str:
@@ -210,10 +218,10 @@ def _sql() -> str:
 
     limits, inside = [], []
     for name, above, below in RATES:
-        limits.append(f"max(q50 + greatest({SPREAD} * (q75 - q50), {above})) FILTER (WHERE rate = '{name}') AS most_{name}")
+        limits.append(f"max(q50 + greatest({SPREAD} * least(q75 - q50, q50 - q25), {above})) FILTER (WHERE rate = '{name}') AS most_{name}")
         inside.append(f"{name} <= most_{name}")
         if below is not None:
-            limits.append(f"max(q50 - greatest({SPREAD} * (q50 - q25), {below})) FILTER (WHERE rate = '{name}') AS least_{name}")
+            limits.append(f"max(q50 - greatest({SPREAD} * least(q75 - q50, q50 - q25), {below})) FILTER (WHERE rate = '{name}') AS least_{name}")
             inside.append(f"{name} >= least_{name}")
     chosen = ", ".join(f"CASE WHEN o.total >= {LEAST_ROWS} THEN o.q{p} WHEN l.total >= {LEAST_ROWS} THEN l.q{p} ELSE w.q{p} END AS q{p}" for p in (25, 50, 75))
     return f"""
