@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..session import settle
 
 HUB_PERCENT = 99
 #: Threshold of a graph without nodes.
@@ -74,6 +75,10 @@ class Graph:
         edges = self.edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
         return Graph(self.nodes.join(gone, "id", "left_anti"), edges.select("source", "target", "relation", "confidence", "seq"))
 
+    def settled(self) -> Graph:
+        """This graph with both tables written once, for operators that read them several times."""
+        return Graph(settle(self.nodes), settle(self.edges))
+
     def node(self, node_id: str) -> DataFrame:
         return self.nodes.filter(F.col("id") == node_id)
 

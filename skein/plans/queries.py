@@ -164,18 +164,18 @@ def seed_topk(spark, d):
 
 
 def bfs_reach(spark, d):
-    graph = star_graph(spark, d)
+    graph = star_graph(spark, d).settled()
     degrees = settle(graph.degrees())
     hub = graph.hub_threshold(degrees).first().hub_threshold
     return traverse.reach(graph, R.seeds(graph, WIDE), WIDE_DEPTH, degrees, hub).select("id", F.col("depth").cast("int").alias("depth"))
 
 
 def render_lines(spark, d):
-    return R.answer_lines(star_graph(spark, d), QUESTION, DEPTH, BUDGET)
+    return R.answer_lines(star_graph(spark, d).settled(), QUESTION, DEPTH, BUDGET)
 
 
 def query_text(spark, d):
-    return R.answer(star_graph(spark, d), WIDE, WIDE_DEPTH, WIDE_BUDGET)
+    return R.answer(star_graph(spark, d).settled(), WIDE, WIDE_DEPTH, WIDE_BUDGET)
 
 
 def shortest_path(spark, d):
