@@ -283,7 +283,7 @@ def cut_spans(text: Column, spans: Column) -> Column:
     starts = F.concat(F.array(F.lit(0).cast("bigint")), odd(1))
     ends = F.concat(odd(0), F.array(F.octet_length(text).cast("bigint")))
     kept = F.zip_with(starts, ends, lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "UTF-8"))
-    return F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, F.array_join(kept, " ")).otherwise(text)
+    return F.when(text.isNotNull() & (F.coalesce(F.size(spans), F.lit(0)) > 0), F.array_join(kept, " ")).otherwise(text)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -7,10 +7,12 @@ marked as rejected (equal sizes go to the language seen most often). Texts are
 normalised first, whole: lower case, letters only, single spaces.
 
 Dictionaries are a bounded sample of labelled rows: about `sample_docs` texts a
-language, none above `sample_bytes` bytes, cut to `dict_bytes`.
+language, twice that at most over all, none above `sample_bytes` bytes, cut to
+the length of the shortest language's sample, 4096 bytes at least and
+`dict_bytes` at most, as the sizes of encodings are compared directly.
 
 Defined results: a null text or one without a letter is `und` with score 0, and
-so is any text when nothing could be learned; rows without a language are not
+so is any text when nothing could be learned; a very long text is encoded whole; rows without a language are not
 learned from; equal rows get equal answers; an empty table gives no rows; other
 columns are ignored.
 """
@@ -46,7 +48,8 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int
         return []
     rates = F.create_map(*[F.lit(x) for lang, c in counts.items() for x in (lang, min(1.0, sample_docs / c))])
     place = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
-    sample = small.withColumn("place", place).filter(F.col("place") < rates[F.col("lang")]).collect()  # about sample_docs a language
+    sample = small.withColumn("place", place).filter(F.col("place") < rates[F.col("lang")])
+    sample = sample.orderBy("place", "lang", "text").limit(2 * sample_docs * len(counts)).collect()  # about sample_docs a language; copies of a text come together, hence the limit
     texts: dict[str, list[bytes]] = {}
     for row in sorted(sample, key=lambda r: (r.lang, r.place, r.text)):
         texts.setdefault(row.lang, []).append(normalised(row.text))

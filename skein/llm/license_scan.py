@@ -3,12 +3,12 @@
 One pass over the texts keeps each document's occurrences of licence words, the
 words of the templates and base phrases, with their positions (words from 0).
 Document frequencies over all documents rank the licence words by inverse
-document frequency. Each document looks up its own `RARE` licence words of
-highest IDF in the positional postings of the templates; places that agree in
-relative position (position in the text less position in the template) add up.
-A template is a candidate where at least `LEAST_SHARE` of the words looked up that
-it holds agree, and it is found there if each word of its mandatory key phrase
-stands at its place.
+document frequency. Of its own words each document looks up, for every template,
+the `RARE` ones of highest IDF in the template's positional postings, so that one
+notice does not crowd out another; places that agree in relative position
+(position in the text less position in the template) add up. A template is a
+candidate where at least `LEAST_SHARE` of the words looked up agree, and it is
+found there if each word of its mandatory key phrase stands at its place.
 
 The base rules are separate: the places where the words of a fixed phrase stand
 consecutively. `lower` also folds letters outside ASCII, which cannot make or
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .quality_rules import let
 from .runtime import Scratch, keyed
 
-RARE, LEAST_SHARE = 12, 0.6
+RARE, LEAST_SHARE = 6, 0.6
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and labels of the base rules.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -124,11 +124,13 @@ def idf_ranks(rows: DataFrame) -> list[int]:
 def candidates(rows: DataFrame, ranks: list[int], rare: int, least_share: float) -> DataFrame:
     """(key, found): the places (t, shift, share) where enough of the rare words of (key, hits) agree with template t."""
     rank = lambda w: F.get(F.array(*map(F.lit, ranks)), w)
-    own = F.slice(F.array_sort(F.transform(F.array_distinct("hits.w"), rank)), 1, rare)
-    some = rows.filter(F.size("hits") > 0).select("key", "hits", own.alias("own"))
-    looked = some.select("key", F.explode(F.filter("hits", lambda h: rank(h["w"]) <= F.array_max("own"))).alias("h")).select("key", "h.w", "h.i")
+    words = F.array(*[F.array(*[F.lit(r) for r in sorted({ranks[NUMBER[w]] for own, w, _, _ in POSTINGS if own == t})]) for t in range(len(TEMPLATES))])
+    own = F.transform(F.array_distinct("hits.w"), rank)
+    some = rows.filter(F.size("hits") > 0).select("key", "hits", let(own, lambda mine: F.transform(words, lambda theirs: F.slice(F.array_intersect(theirs, mine), 1, rare))).alias("own"))
+    some = some.withColumn("any", F.array_distinct(F.flatten("own")))
+    looked = some.select("key", "own", F.explode(F.filter("hits", lambda h: F.array_contains("any", rank(h["w"])))).alias("h")).select("key", "own", "h.w", "h.i")
     posts = rows.sparkSession.createDataFrame([(t, NUMBER[w], p) for t, w, p, _ in POSTINGS], "t int, w int, p long")
-    votes = looked.join(F.broadcast(posts), "w")  # a constant of this module
+    votes = looked.join(F.broadcast(posts), "w").filter(F.array_contains(F.get("own", F.col("t")), rank(F.col("w"))))  # a constant of this module
     agreed = votes.groupBy("key", "t", (F.col("i") - F.col("p")).alias("shift")).agg(F.collect_set("w").alias("ws"))  # at most `rare` words
     asked = agreed.groupBy("key", "t").agg(F.array_distinct(F.flatten(F.collect_set("ws"))).alias("all"), F.collect_list(F.struct("shift", F.size("ws").alias("n"))).alias("at"))  # of one document
     each = F.transform("at", lambda x: F.struct(F.col("t"), x["shift"].alias("shift"), (x["n"] / F.size("all")).alias("share")))
@@ -182,8 +184,11 @@ def _sql() -> str:
     bs AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM b GROUP BY doc_id),
     t(t, label, w, p, is_key) AS (VALUES {posts}),
     df AS (SELECT w, row_number() OVER (ORDER BY count(DISTINCT doc_id), w) AS rank FROM h GROUP BY w),
-    own AS (SELECT doc_id, w FROM (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS k FROM (SELECT DISTINCT doc_id, w FROM h) JOIN df USING (w)) WHERE k <= {RARE}),
-    v AS (SELECT h.doc_id, t.t, i - p AS shift, h.w FROM h JOIN own ON h.doc_id = own.doc_id AND h.w = own.w JOIN t ON h.w = t.w),
+    own AS (
+        SELECT doc_id, t, w FROM (
+            SELECT doc_id, t, x.w, row_number() OVER (PARTITION BY doc_id, t ORDER BY rank) AS k FROM (SELECT DISTINCT doc_id, w FROM h) AS x JOIN df ON x.w = df.w JOIN (SELECT DISTINCT t, w FROM t) AS y ON x.w = y.w)
+        WHERE k <= {RARE}),
+    v AS (SELECT h.doc_id, t.t, i - p AS shift, h.w FROM h JOIN own ON h.doc_id = own.doc_id AND h.w = own.w JOIN t ON h.w = t.w AND t.t = own.t),
     a AS (SELECT doc_id, t, shift, count(DISTINCT w) AS n FROM v GROUP BY ALL),
     m AS (SELECT doc_id, t, count(DISTINCT w) AS m FROM v GROUP BY ALL),
     c AS (SELECT a.doc_id, a.t, shift, n / m AS share FROM a JOIN m ON a.doc_id = m.doc_id AND a.t = m.t WHERE n / m >= {LEAST_SHARE}),

@@ -5,12 +5,12 @@ lines before and after it; transitions tie neighbours together. Forward-backward
 marginals, weighted by line length, add up to the share of good text, which a
 fitted logistic curve turns into the score.
 
-The field is fitted on about `sample_docs` labelled texts of at most
-`sample_bytes` bytes, whose lines all take the label of their document.
+The field is fitted on about `sample_docs` labelled texts, twice that at most, of
+`sample_bytes` bytes or less, whose lines all take the label of their document.
 
 Defined results: null, empty and blank texts have no lines and score the share of
-label 1 among the rows learned from (1/2 if there are none); equal texts score
-alike; an empty table gives no rows; other columns are ignored.
+label 1 among the rows learned from (1/2 if there are none); a very long text is
+scored whole; equal texts score alike; a score of just the threshold predicts 1; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -213,7 +213,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int
     if not count:
         return chain
     place = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
-    sample = rows.filter(place < min(1.0, sample_docs / count)).collect()  # about sample_docs rows
+    sample = rows.filter(place < min(1.0, sample_docs / count)).orderBy(place, "text", "quality").limit(2 * sample_docs).collect()  # about sample_docs rows; copies of a text come together, hence the limit
     sample.sort(key=lambda r: (r.text, r.quality))
     labels = np.array([r.quality for r in sample], float)
     raw, offsets = grid.buffer_of(pa.array([r.text for r in sample], pa.string()))

@@ -19,7 +19,9 @@ fewer words the whole sequence is one shingle). Steps:
 A pair at similarity 0.75 shares none of 32 bands of 4 rows with probability
 5e-6, and less the more similar it is.
 
-Defined results: null, empty and blank texts have an empty set and stay alone;
+Defined results: null, empty and blank texts have an empty set and stay alone; a
+very long text is shingled whole, within one batch; a similarity of exactly
+`percent` links;
 rows that share a doc_id count as separate documents, of which the first (by
 text hash) can stay; an empty table gives no rows; other columns are ignored.
 """

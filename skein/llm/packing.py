@@ -9,7 +9,9 @@ each class, and one small table of counts by class and worker places them. The
 pieces that are left over, fewer than k in class k (about 21,000 at most,
 whatever the input), are put together largest first.
 
-Defined results: null and empty texts are the end id alone; equal rows are packed
+Defined results: null and empty texts are the end id alone; a very long text is
+encoded whole and cut into as many sequences as it fills; equal lengths are told
+apart by doc_id, start and ids; equal rows are packed
 one by one; an empty table gives no rows; other columns are ignored.
 """
 

@@ -9,7 +9,9 @@ ends a leaf, the next one; only these are encoded again, and the sums on their
 paths to the root are updated. Leaves that grow beyond four times `LEAF` are cut
 anew.
 
-Defined results: a null text is empty and has no tokens; edits are (start, stop,
+Defined results: a null text is empty and has no tokens; a very long text has as
+many leaves as it needs, but one without white space is a single leaf, so that any
+edit encodes all of it again; edits are (start, stop,
 insert) in characters of the old text, sorted and disjoint, cut to the text, with
 a null insert being empty; equal rows are counted one by one; an empty table
 gives no rows; other columns are ignored.

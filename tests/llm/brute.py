@@ -4,6 +4,9 @@ import hashlib
 import re
 from collections import Counter
 
+import xxhash
+import zstandard
+
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -116,3 +119,61 @@ def strip_earlier_text(rows, window=100):
             seen.add(raw[i : i + window])
         out[k] = None if t is None else bytes(b for b, g in zip(raw, gone) if not g).decode("utf-8", "ignore")
     return out
+
+
+def cleaned(rows, items, window=10):
+    """[(doc_id, text without the spans of benchmark windows)]"""
+    grams = {}
+    for _, t in items:
+        w = lower_words(t)
+        for i in range(max(1, len(w) - window + 1)) if w else ():
+            grams.setdefault(min(window, len(w)), set()).add(tuple(w[i : i + window]))
+    out = []
+    for k, t in rows:
+        places = [(m.start(), m.end()) for m in ALNUM_WORD.finditer((t or "").translate({c: c + 32 for c in range(65, 91)}))]
+        w = lower_words(t)
+        hit = [False] * len(w)
+        for n, known in grams.items():
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in known:
+                    hit[i : i + n] = [True] * n
+        parts, last, i = [], 0, 0
+        while i < len(w):
+            j = i
+            while j < len(w) and hit[j]:
+                j += 1
+            if j > i:
+                parts.append(t[last : places[i][0]])
+                last = places[j - 1][1]
+            i = max(j, i + 1)
+        out.append((k, t if not parts else " ".join([*parts, t[last:]])))
+    return out
+
+
+def languages(labelled, texts, sample=100, most=64 << 10):
+    """labelled: (text, lang) rows. [(language, score)] of texts, by a dictionary of each language's own rows."""
+    small = [(t, lang) for t, lang in labelled if t is not None and lang is not None and len(t.encode()) <= 20_000]
+    counts = Counter(lang for _, lang in small)
+    place = lambda t: xxhash.xxh64(t.encode(), seed=42).intdigest()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    by_place = sorted((lang, signed(place(t)) % 1_000_003 / 1_000_003, t) for t, lang in small)
+    clean = lambda t: " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()).encode()
+    joined = {}
+    for lang, p, t in by_place:
+        if p < min(1.0, sample / counts[lang]):
+            joined.setdefault(lang, []).append(clean(t))
+    joined = {lang: b" ".join(x) for lang, x in joined.items()}
+    size = min(most, max(4096, min(map(len, joined.values()))))
+    coders = []
+    for lang in sorted(joined, key=lambda x: (-counts[x], x)):
+        how = zstandard.ZstdCompressionParameters.from_level(6, dict_size=len(joined[lang][:size]), source_size=4000, min_match=3, write_content_size=0, write_dict_id=0, write_checksum=0)
+        coders.append((lang, zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(joined[lang][:size], dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)))
+    out = []
+    for t in texts:
+        raw = clean(t or "")
+        if not raw:
+            out.append("und")
+            continue
+        sizes = [(len(c.compress(raw)), i) for i, (_, c) in enumerate(coders)]
+        out.append(coders[min(sizes)[1]][0])
+    return out

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import brute
 import cases
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark import Broadcast
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from skein.llm import decontaminate, grid, language_id, license_scan, line_crf,
 from skein.llm.components import components
 from skein.llm.runtime import Scratch
 from skein.llm.tokens import Encoder
+from tokenizers import Tokenizer
 
 ODD = cases.odd_rows()
 TEXTS = [(r[0], r[1]) for r in ODD]
@@ -100,6 +102,14 @@ def test_language_held_out_accuracy(spark, sf):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in got.collect())
 
 
+def test_language_matches_brute_force(spark, sf):
+    rows = documents(spark, sf).orderBy("doc_id").collect()
+    labelled = [(r.text, r.lang) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    want = brute.languages(labelled, [r.text for r in rows])
+    got = by_id(queries.queries()["op2_language_id"](spark, sf), "lang_pred")
+    assert sum(got[r.doc_id][0] != w for r, w in zip(rows, want)) <= len(rows) // 100  # digits that some alphabets call letters
+
+
 def test_language_odd_rows(spark):
     learned = language_id.learn(spark.createDataFrame([("the cat sat on the mat", "en"), ("der hund lief durch das haus", "de"), (None, "fr"), ("x", None)], "text string, lang string"))
     got = by_id(language_id.identify(cases.clashing(spark).filter("doc_id <> 5"), learned), "lang_pred", "score")
@@ -283,6 +293,14 @@ def test_crf_odd_rows(spark):
 # 7: licences
 
 
+def test_two_notices_in_one_text_and_broken_key_phrases(spark):
+    mit, gpl = (next(t for name, _, t, _ in license_scan.TEMPLATES if name == n) for n in ("mit-grant", "gpl-notice"))
+    filler = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, f"{filler} {mit}. {filler} {gpl}! {filler}"), (2, mit.replace("hereby granted", "hereby not granted")), (3, f"{mit} {mit}"), (4, "the software is free of charge and granted to copy"), (5, None)]
+    got = by_id(license_scan.scan(frame_of(spark, rows)), "base_labels", "labels", "score")
+    assert got == {1: ("gpl", "gpl,mit", 1.0), 2: ("", "", 0.0), 3: ("", "mit", 1.0), 4: ("", "", 0.0), 5: ("", "", 0.0)}
+
+
 def test_licences_odd_rows(spark):
     got = by_id(license_scan.scan(cases.odd(spark)), "n_words", "n_base", "first_word", "base_labels", "labels", "score")
     assert got[12][1:5] == (1, 3, "mit", "mit") and got[12][5] == 1.0
@@ -357,15 +375,33 @@ def test_trees_follow_random_edits():
             assert text == token_counts.edited(t, edits) and after[1] == full(text)
 
 
+def revised(t):
+    """The query's edits, by hand."""
+    n = len(t)
+    if n < 60:
+        return "Revised text. " + t
+    a, b, c = int(n * (1 / 3)), int(n * (1 / 2)), int(n * (3 / 4))
+    return t[:a] + "Revised text. " + t[a:b] + t[b + 10 : c] + "newer" + t[c + 5 :]
+
+
+def test_token_counts_on_clashing_and_repeated_rows(spark):
+    docs = cases.clashing(spark)
+    trees = token_counts.build_trees(docs).withColumn("edits", token_counts.revision(F.col("text")))
+    rows = token_counts.apply_edits(trees).collect()
+    assert len(rows) == docs.count() and len({(r.n_before, r.n_tokens) for r in rows if r.doc_id == 5}) == 2
+    assert token_counts.apply_edits(trees.filter("false")).count() == 0
+
+
 def test_token_counts_of_documents(spark, sf):
     docs = documents(spark, sf)
     trees = token_counts.build_trees(docs).withColumn("edits", token_counts.revision(F.col("text")))
     rows = token_counts.apply_edits(trees).collect()
-    known = Encoder()
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    full = lambda t: len(whole.encode(t or "", add_special_tokens=False).ids)
     texts = dict(pairs_of(docs))
     for r in rows:
-        assert r.n_tokens == len(known.encode([r.text])[0]) // 4 and r.n_before == len(known.encode([texts[r.doc_id]])[0]) // 4
-        assert r.n_encoded <= 6
+        assert r.n_tokens == full(r.text) and r.n_before == full(texts[r.doc_id])
+        assert r.n_encoded <= 6 and r.text == revised(texts[r.doc_id] or "")
     assert len(rows) == docs.count() and token_counts.build_trees(cases.empty(spark)).count() == 0
 
 

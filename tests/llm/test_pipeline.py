@@ -1,6 +1,7 @@
 """The corpus pipeline against a brute-force version of its stages."""
 
 import brute
+import cases
 import corpus_pipeline
 from pyspark.sql import functions as F
 from skein.llm import decontaminate, quality_rules
@@ -36,9 +37,31 @@ def test_stages_and_run(spark, sf):
     assert check_packing(cleaned, frame.collect()) > 0.95
 
 
-def test_run_is_the_stages_one_after_the_other(spark, sf):
-    out = corpus_pipeline.run(spark, sf)
-    assert out.filter("start = 0").count() == out.select("doc_id").distinct().count() and out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 4096
+def test_run_matches_brute_force(spark, duck, sf):
+    texts = dict(pairs_of(spark.read.parquet(f"{sf}/documents.parquet")))
+    kept = duck.execute(f"SELECT doc_id FROM ({quality_rules.OP1_SQL}) WHERE kept").fetchall()
+    rows = sorted((k, texts[k]) for (k,) in kept)
+    classes = brute.near_components(rows)
+    rows = sorted(brute.strip_earlier_text([r for r in rows if classes[r[0]][1] == r[0]]).items())
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert check_packing(brute.cleaned(rows, items), corpus_pipeline.run(spark, sf).collect()) > 0.95
+
+
+def test_stages_on_odd_rows(spark, sf):
+    docs = frame = cases.clashing(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, sf)
+        assert frame.columns == docs.columns and frame.dtypes == docs.dtypes
+    assert corpus_pipeline.pack(spark, frame, sf).count() >= frame.count()
+    cleaned = corpus_pipeline.benchmark(spark, docs, sf)  # without the rules, which reject most of the odd rows
+    assert cleaned.count() == docs.count() and corpus_pipeline.near(spark, cleaned, sf).count() < docs.count()
+
+
+def test_stages_on_an_empty_table(spark, sf):
+    frame = cases.empty(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, sf)
+        assert frame.isEmpty() and (frame.columns == cases.empty(spark).columns or stage is corpus_pipeline.pack)
 
 
 def test_cut_spans(spark):
