@@ -12,7 +12,7 @@ from skein.operators.graph import Graph
 from skein.operators.index import NodeIndex
 from skein.operators.signatures import SCHEMES, Ed25519, Hybrid, MockScheme, Registry, SecretKeySigner
 from skein.operators.trust import TrustStore, authorized, chained, verify_authorized
-from skein.sources.artifact import Artifact, ArtifactError, parse, read_edges
+from skein.sources.artifact import Artifact, ArtifactError, parse, read_edges, read_envelopes, read_index, read_nodes
 from test_graph import make
 
 
@@ -249,7 +249,11 @@ def test_container_round_trip(spark, tmp_path):
     assert all(x in text for x in (f'"{PARENT.hex()}"', "13579bdf02468ace", '\\"hi\\"', '"tombstoned": [2, 3]', '"merged_into": {"3": 1}', "Inferred(Reasonable)"))
     (tmp_path / "one.bin").write_bytes(raw)
     (tmp_path / "two.bin").write_bytes(A1)
-    assert read_edges(spark, str(tmp_path)).count() == 3
+    many = str(tmp_path)
+    assert read_edges(spark, many).count() == 3 and {(r.id, r.source) for r in read_nodes(spark, many).collect()} == {("a", "src"), ("b", None), ("a", None)}
+    kept = lambda frame: sorted(map(str, frame.collect()))
+    assert kept(read_index(spark, many).drop("path")) == kept(back.index.table)
+    assert kept(read_envelopes(spark, many).drop("path")) == kept(back.provenance)
 
 
 def test_the_last_record_of_a_node_counts(spark):
