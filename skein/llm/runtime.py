@@ -52,6 +52,7 @@ class Scratch:
         self.spark = spark
         small_batches(spark)
         self.root = folder or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.passing = folder is None
         self.run = uuid.uuid4().hex[:6]
         self.count = 0
         self.live: dict[str, DataFrame] = {}
@@ -62,10 +63,23 @@ class Scratch:
         path = f"{self.root}/{self.run}-{self.count:03d}-{name}"
         frame.write.option("compression", "zstd").parquet(path)
         out = self.open(path, frame.schema)
+        if self.passing and self.count == 1:
+            self._file_system().deleteOnExit(self._path())  # when the driver ends; frames may read it until then
         if not keep:
             self.live[path] = out
         return out
 
+    def _path(self):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+
+    def _file_system(self):
+        return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def stay(self) -> None:
+        """The folder outlives this driver."""
+        self.passing = False
+        self._file_system().cancelDeleteOnExit(self._path())
+
     def open(self, path: str, schema) -> DataFrame:
         """A table that was written before; it stays unless it is dropped."""
         out = self.spark.read.schema(schema).parquet(path)
