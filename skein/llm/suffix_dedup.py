@@ -8,7 +8,7 @@ windows. Equal suffixes that a batch or an older level holds already are left
 out, as only the first one decides what is earlier.
 
 `SuffixFamily.add` takes documents in batches of rising key. A new batch gets its
-array and is merge-scanned, by a sort-merge join in suffix order, against each
+array and is merge-scanned, by a sort-merge join on the anchors, against each
 existing level: a run that a level or the batch itself holds already is a long
 match, and all of its windows are earlier ones. Suffixes that start alike and then
 differ branch; they are set aside. Then the batch's new suffixes become a level of
@@ -53,8 +53,9 @@ STEP = 10
 #: a1, a2: the suffix's first 16 bytes, as numbers in byte order; h: its anchor; span: its run; the run's n windows start
 #: at `ord`, `lead` bytes before the suffix.
 SUFFIXES = "a1 long, a2 long, h long, span long, ord long, n int, lead int"
-HEAD = ["a1", "a2", "h"]
-ORDER = [*HEAD, "span"]
+ORDER = ["a1", "a2", "h", "span"]
+#: What tells runs apart: the first bytes follow from the anchor.
+RUN = ["h", "span"]
 CONTEXTS = "h long, ord long, n int, lead int, context binary"
 PARTS = "c long, u long, ord long, n int, owner long"
 
@@ -146,35 +147,36 @@ class SuffixFamily:
         self.last = -1
         self.merges = 0
 
-    def add(self, batch: DataFrame) -> None:
-        """Adds a batch (key, text), whose keys lie above all keys before."""
-        span = batch.agg(F.min("key").alias("least"), F.max("key").alias("most")).first()
+    def add(self, batch: DataFrame, final: bool = False) -> None:
+        """Adds a batch (key, text), whose keys lie above all keys before; after a final one no level is needed."""
+        write, drop = self.scratch.write, self.scratch.drop
+        runs = write(suffixes(batch, self.tokens), "runs")
+        span = runs.agg(F.min("ord").alias("least"), F.max("ord").alias("most")).first()
         if span.least is None:
+            drop(runs)
             return
-        if span.least <= self.last:
-            raise ValueError(f"key {span.least} of a new batch is not above {self.last}")
-        write, drop = self.scratch.write, self.scratch.drop
+        if span.least >> POSITION_BITS <= self.last:
+            raise ValueError(f"key {span.least >> POSITION_BITS} of a new batch is not above {self.last}")
         self._merge()
-        runs = write(suffixes(batch, self.tokens), "runs")
-        own = write(runs.groupBy(*ORDER).agg(F.min("ord").alias("ord"), F.min("n").alias("n"), F.min("lead").alias("lead"), F.count("*").alias("c")), "own")
-        heads = own.select(*HEAD).distinct()
-        # The merge-scan: each level's suffixes that start like one of the batch.
-        met = write(reduce(DataFrame.unionByName, [level.join(heads, HEAD, "left_semi") for _, level in self.levels]), "met") if self.levels else None
+        # Equal runs agree in all but their place.
+        own = write(runs.groupBy(*RUN).agg(*[F.min(c).alias(c) for c in ("ord", "a1", "a2", "n", "lead")], F.count("*").alias("c")), "own")
+        # The merge-scan: each level's suffixes that start with an anchor of the batch.
+        met = write(reduce(DataFrame.unionByName, [level.select("h", "span", "ord", "n", "lead").join(own.select("h"), "h", "left_semi") for _, level in self.levels]), "met") if self.levels else None
         if met is None:
             marked = own.withColumn("known", F.lit(False))
         else:
-            marked = own.join(met.select(*ORDER, F.lit(True).alias("known")), ORDER, "left").withColumn("known", F.coalesce("known", F.lit(False)))
-        marked = write(marked, "marked")
-        again = marked.filter("known OR c > 1").select(*ORDER, F.col("ord").alias("first"), "known")
-        self.found.append(write(runs.join(again, ORDER).filter("known OR ord > first").select("ord", "n"), "found"))
+            marked = write(own.join(met.select(*RUN, F.lit(True).alias("known")), RUN, "left").withColumn("known", F.coalesce("known", F.lit(False))), "marked")
+        again = marked.filter("known OR c > 1").select(*RUN, F.col("ord").alias("first"), "known")
+        self.found.append(write(runs.select(*RUN, "ord", "n").join(again, RUN).filter("known OR ord > first").select("ord", "n"), "found"))
         new = marked.filter("NOT known").select(*ORDER, "ord", "n", "lead")
-        both = new.withColumn("fresh", F.lit(1))
-        both = both if met is None else both.unionByName(met.withColumn("fresh", F.lit(0)))
-        branching = both.groupBy(*HEAD).agg(F.count("*").alias("c"), F.max("fresh").alias("fresh")).filter("c > 1 AND fresh = 1").select(*HEAD)
-        self.open.append(write(both.join(branching, HEAD).select("h", "ord", "n", "lead"), "open"))
-        self.levels.append((1, self._sorted(new, 1)))
-        drop(runs, own, marked, *([] if met is None else [met]))
-        self.last = span.most
+        both = new.select("h", "ord", "n", "lead", F.lit(1).alias("fresh"))
+        both = both if met is None else both.unionByName(met.select("h", "ord", "n", "lead", F.lit(0).alias("fresh")))
+        branching = both.groupBy("h").agg(F.count("*").alias("c"), F.max("fresh").alias("fresh")).filter("c > 1 AND fresh = 1").select("h")
+        self.open.append(write(both.join(branching, "h").select("h", "ord", "n", "lead"), "open"))
+        if not final:
+            self.levels.append((1, self._sorted(new, 1)))
+        drop(runs, own, *([] if met is None else [met, marked]))
+        self.last = span.most >> POSITION_BITS
 
     def _sorted(self, array: DataFrame, size: int) -> DataFrame:
         """A written array, in suffix order over all of its files."""
@@ -198,6 +200,7 @@ class SuffixFamily:
     def save(self) -> str:
         """Writes what a later job needs and returns the folder."""
         spark, root = self.scratch.spark, self.scratch.root
+        self.scratch.stay()
         rows = [("level", size, level._skein_path) for size, level in self.levels] + [("state", self.last, f"{self.tokens.window},{self.tokens.anchor},{self.step}")]
         spark.createDataFrame(rows, "kind string, size long, value string").coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest")
         return root
@@ -281,8 +284,9 @@ def deal(docs: DataFrame, batches: int) -> list[DataFrame]:
 
 def earlier_runs(docs: DataFrame, family: SuffixFamily, batches: int) -> DataFrame:
     """(ord, n): runs of windows of (key, text) that also start earlier."""
-    for part in deal(docs, batches):
-        family.add(part)
+    parts = deal(docs, batches)
+    for i, part in enumerate(parts, 1):
+        family.add(part, i == len(parts))
     found = family.earlier(docs)
     family.scratch.drop(*[level for _, level in family.levels])
     return found
