@@ -122,20 +122,29 @@ def idf_ranks(rows: DataFrame) -> list[int]:
 
 
 def candidates(rows: DataFrame, ranks: list[int], rare: int, least_share: float) -> DataFrame:
-    """(key, found): the places (t, shift, share) where enough of the rare words of (key, hits) agree with template t."""
+    """(key, found): the places (t, shift, share) where enough of the rare words of (key, hits) agree with template t, verified.
+
+    Only templates of which a document holds each word of the key phrase are
+    looked up, as no other one can be found in it.
+    """
+    number = lambda own, only_key: F.array(*[F.lit(r) for r in sorted({ranks[NUMBER[w]] for t, w, _, is_key in POSTINGS if t == own and (is_key or not only_key)})])
+    templates = F.array(*[F.struct(F.lit(t).alias("t"), number(t, False).alias("words"), number(t, True).alias("key")) for t in range(len(TEMPLATES))])
     rank = lambda w: F.get(F.array(*map(F.lit, ranks)), w)
-    words = F.array(*[F.array(*[F.lit(r) for r in sorted({ranks[NUMBER[w]] for own, w, _, _ in POSTINGS if own == t})]) for t in range(len(TEMPLATES))])
-    own = F.transform(F.array_distinct("hits.w"), rank)
-    some = rows.filter(F.size("hits") > 0).select("key", "hits", let(own, lambda mine: F.transform(words, lambda theirs: F.slice(F.array_intersect(theirs, mine), 1, rare))).alias("own"))
-    some = some.withColumn("any", F.array_distinct(F.flatten("own")))
-    looked = some.select("key", "own", F.explode(F.filter("hits", lambda h: F.array_contains("any", rank(h["w"])))).alias("h")).select("key", "own", "h.w", "h.i")
+    mine = F.transform(F.array_distinct("hits.w"), rank)
+
+    def asked(own: Column) -> Column:
+        possible = F.filter(templates, lambda x: F.size(F.array_except(x["key"], own)) == 0)
+        return F.transform(possible, lambda x: F.struct(x["t"].alias("t"), F.slice(F.array_intersect(x["words"], own), 1, rare).alias("ws")))
+
+    some = rows.filter(F.size("hits") > 1).select("key", "hits", let(mine, asked).alias("asked")).filter(F.size("asked") > 0)
+    each = some.select("key", "hits", F.explode("asked").alias("x"))
+    looked = each.select("key", F.col("x.t").alias("t"), F.size("x.ws").alias("m"), F.explode(F.filter("hits", lambda h: F.array_contains("x.ws", rank(h["w"])))).alias("h")).select("key", "t", "m", "h.w", "h.i")
     posts = rows.sparkSession.createDataFrame([(t, NUMBER[w], p) for t, w, p, _ in POSTINGS], "t int, w int, p long")
-    votes = looked.join(F.broadcast(posts), "w").filter(F.array_contains(F.get("own", F.col("t")), rank(F.col("w"))))  # a constant of this module
-    agreed = votes.groupBy("key", "t", (F.col("i") - F.col("p")).alias("shift")).agg(F.collect_set("w").alias("ws"))  # at most `rare` words
-    asked = agreed.groupBy("key", "t").agg(F.array_distinct(F.flatten(F.collect_set("ws"))).alias("all"), F.collect_list(F.struct("shift", F.size("ws").alias("n"))).alias("at"))  # of one document
-    each = F.transform("at", lambda x: F.struct(F.col("t"), x["shift"].alias("shift"), (x["n"] / F.size("all")).alias("share")))
-    good = asked.select("key", F.filter(each, lambda x: x["share"] >= least_share).alias("found"))
-    return good.groupBy("key").agg(F.flatten(F.collect_list("found")).alias("found"))
+    votes = looked.join(F.broadcast(posts), ["t", "w"])  # a constant of this module
+    agreed = votes.groupBy("key", "t", "m", (F.col("i") - F.col("p")).alias("shift")).agg(F.countDistinct("w").alias("n"))
+    good = agreed.withColumn("share", F.col("n") / F.col("m")).filter(F.col("share") >= least_share)
+    found = good.groupBy("key").agg(F.collect_list(F.struct("t", "shift", "share")).alias("found"))  # places of one document
+    return some.select("key", "hits").join(found, "key").select("key", verified(F.col("hits"), F.col("found")).alias("found"))
 
 
 def verified(hits: Column, found: Column) -> Column:
@@ -151,7 +160,7 @@ def scan(docs: DataFrame, rare: int = RARE, least_share: float = LEAST_SHARE) ->
     scratch = Scratch(docs.sparkSession, "licences")
     rows = scratch.write(keyed(docs, scratch).select("key", "doc_id", occurrences(F.col("text")).alias("x")).select("key", "doc_id", "x.*"), "hits")
     found = candidates(rows, idf_ranks(rows), rare, least_share)
-    both = rows.join(found, "key", "left").select("doc_id", "n_words", let(F.col("hits"), places).alias("base"), verified(F.col("hits"), F.col("found")).alias("found"))
+    both = rows.select("key", "doc_id", "n_words", let(F.col("hits"), places).alias("base")).join(found, "key", "left")
     label = F.array(*[F.lit(label) for _, label, _, _ in TEMPLATES])
     own = F.coalesce(F.transform("found", lambda x: F.get(label, x["t"])), F.array().cast("array<string>"))
     join = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
