@@ -8,11 +8,13 @@ windows. Equal suffixes that a batch or an older level holds already are left
 out, as only the first one decides what is earlier.
 
 `SuffixFamily.add` takes documents in batches of rising key. A new batch gets its
-array and is merge-scanned, by a sort-merge join on the anchors, against each
-existing level: a run that a level or the batch itself holds already is a long
-match, and all of its windows are earlier ones. Suffixes that start alike and then
+array and is scanned, by a hash join on the anchors, against all existing levels.
+A run whose anchor starts no other run there or in the batch is new; only the
+others are compared: a run that a level or the batch itself holds already is a
+long match, and all of its windows are earlier ones. Suffixes that start alike and then
 differ branch; they are set aside. Then the batch's new suffixes become a level of
-size one, and levels of equal size merge into one of twice the size: a family
+size one, put in order when the next batch comes or the family is saved, and
+levels of equal size merge into one of twice the size: a family
 over B batches has at most log2(B)+1 levels, each suffix is rewritten at most
 log2(B) times, and no text of an older batch is read.
 
@@ -135,6 +137,11 @@ def refined(found: DataFrame, window: int, step: int) -> DataFrame:
     return found.select("h", "ord", "n", "lead", "context").mapInArrow(kernel, PARTS)
 
 
+def built(distinct: DataFrame) -> DataFrame:
+    """The side of a join that is hashed, one partition at a time: its keys are distinct, so partitions are even and the other side needs no sort."""
+    return distinct.hint("shuffle_hash")
+
+
 class SuffixFamily:
     """Levels of suffix arrays over the documents added so far, in a folder that all executors share."""
 
@@ -146,6 +153,7 @@ class SuffixFamily:
         self.open: list[DataFrame] = []
         self.last = -1
         self.merges = 0
+        self.unsorted: list[DataFrame] = []  # what the last level is read from, if it is not in order yet
 
     def add(self, batch: DataFrame, final: bool = False) -> None:
         """Adds a batch (key, text), whose keys lie above all keys before; after a final one no level is needed."""
@@ -158,24 +166,37 @@ class SuffixFamily:
         if span.least >> POSITION_BITS <= self.last:
             raise ValueError(f"key {span.least >> POSITION_BITS} of a new batch is not above {self.last}")
         self._merge()
+        heads = write(runs.groupBy("h").agg(F.count("*").alias("c")), "heads")
+        # The merge-scan: the levels' suffixes that start with an anchor of the batch.
+        met = write(reduce(DataFrame.unionByName, [level.select("h", "span", "ord", "n", "lead") for _, level in self.levels]).join(built(heads.select("h")), "h", "left_semi"), "met") if self.levels else None
+        # A run whose anchor starts no other one, here or in a level, is new and meets nothing: only the rest is compared.
+        again = heads.filter("c > 1").select("h")
+        again = write((again if met is None else again.unionByName(met.select("h"))).distinct(), "again")
+        shared = built(again.select("h", F.lit(True).alias("shared")))
+        split = runs.join(shared, "h", "left").withColumn("shared", F.coalesce("shared", F.lit(False))) if not final else runs.join(shared, "h")
+        split = write(split.select(*ORDER, "ord", "n", "lead", "shared"), "split")
+        drop(runs, heads, again)
+        some = split.filter("shared")
         # Equal runs agree in all but their place.
-        own = write(runs.groupBy(*RUN).agg(*[F.min(c).alias(c) for c in ("ord", "a1", "a2", "n", "lead")], F.count("*").alias("c")), "own")
-        # The merge-scan: each level's suffixes that start with an anchor of the batch.
-        met = write(reduce(DataFrame.unionByName, [level.select("h", "span", "ord", "n", "lead").join(own.select("h"), "h", "left_semi") for _, level in self.levels]), "met") if self.levels else None
+        own = write(some.groupBy(*RUN).agg(*[F.min(c).alias(c) for c in ("ord", "a1", "a2", "n", "lead")], F.count("*").alias("c")), "own")
         if met is None:
             marked = own.withColumn("known", F.lit(False))
         else:
             marked = write(own.join(met.select(*RUN, F.lit(True).alias("known")), RUN, "left").withColumn("known", F.coalesce("known", F.lit(False))), "marked")
-        again = marked.filter("known OR c > 1").select(*RUN, F.col("ord").alias("first"), "known")
-        self.found.append(write(runs.select(*RUN, "ord", "n").join(again, RUN).filter("known OR ord > first").select("ord", "n"), "found"))
+        copies = marked.filter("known OR c > 1").select(*RUN, F.col("ord").alias("first"), "known")
+        self.found.append(write(some.select(*RUN, "ord", "n").join(copies, RUN).filter("known OR ord > first").select("ord", "n"), "found"))
         new = marked.filter("NOT known").select(*ORDER, "ord", "n", "lead")
         both = new.select("h", "ord", "n", "lead", F.lit(1).alias("fresh"))
         both = both if met is None else both.unionByName(met.select("h", "ord", "n", "lead", F.lit(0).alias("fresh")))
         branching = both.groupBy("h").agg(F.count("*").alias("c"), F.max("fresh").alias("fresh")).filter("c > 1 AND fresh = 1").select("h")
         self.open.append(write(both.join(branching, "h").select("h", "ord", "n", "lead"), "open"))
-        if not final:
-            self.levels.append((1, self._sorted(new, 1)))
-        drop(runs, own, *([] if met is None else [met, marked]))
+        held = own if met is None else marked
+        if final:
+            drop(split, held)
+        else:
+            self.levels.append((1, split.filter("NOT shared").select(*new.columns).unionByName(new)))
+            self.unsorted = [split, held]
+        drop(*([] if met is None else [met, own]))
         self.last = span.most >> POSITION_BITS
 
     def _sorted(self, array: DataFrame, size: int) -> DataFrame:
@@ -184,7 +205,10 @@ class SuffixFamily:
         return self.scratch.write(array.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER), f"level-{size}", keep=True)
 
     def _merge(self) -> None:
-        """Levels of equal size become one of twice the size, which is written once; done when the next batch comes."""
+        """Levels of equal size become one of twice the size, which is written once; done when the next batch comes.
+
+        The newest array is put in order here, with those it merges with or alone.
+        """
         merged = []
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
@@ -192,15 +216,34 @@ class SuffixFamily:
             merged.append(b)
             self.levels.append((2 * size, b))
             self.merges += 1
-        if merged:
-            size, _ = self.levels.pop()
-            self.levels.append((size, self._sorted(reduce(DataFrame.unionByName, merged), size)))
-            self.scratch.drop(*merged)
+        if not merged:
+            return self._settle()
+        size, _ = self.levels.pop()
+        self.levels.append((size, self._sorted(reduce(DataFrame.unionByName, merged), size)))
+        self._release(merged)
+
+    def _settle(self) -> None:
+        """The newest array by itself, in order."""
+        if self.unsorted:
+            size, array = self.levels.pop()
+            self.levels.append((size, self._sorted(array, size)))
+            self._release([])
+
+    def _release(self, arrays: list[DataFrame]) -> None:
+        """Deletes written arrays, and what an array that is not in order yet is read from."""
+        self.scratch.drop(*[a for a in arrays if hasattr(a, "_skein_path")], *self.unsorted)
+        self.unsorted = []
+
+    def close(self) -> None:
+        """Deletes all levels, once nothing more is added."""
+        self._release([level for _, level in self.levels])
+        self.levels = []
 
     def save(self) -> str:
         """Writes what a later job needs and returns the folder."""
         spark, root = self.scratch.spark, self.scratch.root
         self.scratch.stay()
+        self._settle()
         rows = [("level", size, level._skein_path) for size, level in self.levels] + [("state", self.last, f"{self.tokens.window},{self.tokens.anchor},{self.step}")]
         spark.createDataFrame(rows, "kind string, size long, value string").coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest")
         return root
@@ -288,7 +331,7 @@ def earlier_runs(docs: DataFrame, family: SuffixFamily, batches: int) -> DataFra
     for i, part in enumerate(parts, 1):
         family.add(part, i == len(parts))
     found = family.earlier(docs)
-    family.scratch.drop(*[level for _, level in family.levels])
+    family.close()
     return found
 
 

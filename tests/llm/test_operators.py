@@ -197,6 +197,24 @@ def test_levels_merge_in_a_one_off_call(spark, monkeypatch):
     assert sizes == [[], [1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1]] and merges == [0, 0, 1, 1, 3, 3, 4, 4]
 
 
+def test_only_anchors_that_occur_again_are_compared(spark, monkeypatch):
+    rnd = random.Random(11)
+    rows = [(i, "".join(rnd.choice("abcdefgh ") for _ in range(2_000))) for i in range(8)]
+    rows = [*rows, *[(i, f"short {i}") for i in range(8, 12)]]  # the last batch has no window, so the newest array is never put in order
+    rows[6] = (6, rows[6][1] + rows[1][1][300:700])
+    counts, write = {}, Scratch.write
+
+    def seen(scratch, frame, name="t", keep=False):
+        out = write(scratch, frame, name, keep)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "write", seen)
+    got = by_id(suffix_dedup.remove_earlier(frame_of(spark, rows), batches=3), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.earlier_bytes(rows, 100) and got[6][1] == 400
+    assert counts["runs"] > 300 and 0 < counts["own"] < 40
+
+
 def test_a_family_is_reopened_and_its_arrays_are_in_suffix_order(spark):
     rows = pieced(9, 30)
     docs = frame_of(spark, rows).select(F.col("doc_id").alias("key"), "text")
