@@ -24,6 +24,11 @@ def canonical(namespace: Column, entity: Column) -> Column:
     return F.concat(slug(namespace), F.lit("::"), slug(entity))
 
 
+def canonical_key(namespace: Column, key: Column) -> Column:
+    """`canonical` of a whole number: its slug is its digits, without a pattern run over each."""
+    return F.concat(slug(namespace), F.lit("::"), F.ltrim(key.cast("string"), F.lit("-")))
+
+
 def _by_tag(tag: Column, values) -> Column:
     out = F.when(tag == 0, F.lit(values[0]))
     for i, v in enumerate(values[1:], 1):

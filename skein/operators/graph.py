@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,19 @@ def _first(column: str, keep: Column) -> Column:
 
 @dataclass(frozen=True)
 class Graph:
-    """nodes (id, label, kind, source) and edges (source, target, relation, confidence, seq)."""
+    """nodes (id, label, kind, source) and edges (source, target, relation, confidence, seq).
+
+    `tables` are those it is made of; their rows size the shuffles of what is written.
+    """
 
     nodes: DataFrame
     edges: DataFrame
+    tables: tuple[DataFrame, ...] = ()
+
+    @cached_property
+    def rows(self) -> int:
+        """Rows of `tables`; 0, which leaves shuffles to Spark, without any."""
+        return reduce(DataFrame.union, [t.select(F.lit(1)) for t in self.tables]).count() if self.tables else 0
 
     @staticmethod
     def empty(spark: SparkSession) -> Graph:
@@ -67,17 +77,17 @@ class Graph:
         nodes = nodes.unionByName(ends.select("id", F.col("id").alias("label"), F.lit("").alias("kind"), F.lit(None).cast("string").alias("source")))
         last = self.edges.agg((F.coalesce(F.max("seq"), F.lit(-1)) + 1).alias("_shift"))
         shifted = other.edges.crossJoin(F.broadcast(last)).withColumn("seq", F.col("seq") + F.col("_shift")).drop("_shift")  # one row
-        return Graph(nodes, _deduped(self.edges.unionByName(shifted)))
+        return Graph(nodes, _deduped(self.edges.unionByName(shifted)), self.tables + other.tables)
 
     def forget(self, ids: DataFrame) -> Graph:
         """Without the nodes in `ids` (id) and all edges from or to them; unknown ids change nothing."""
         gone = ids.select("id").distinct()
         edges = self.edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
-        return Graph(self.nodes.join(gone, "id", "left_anti"), edges.select("source", "target", "relation", "confidence", "seq"))
+        return Graph(self.nodes.join(gone, "id", "left_anti"), edges.select("source", "target", "relation", "confidence", "seq"), self.tables)
 
     def settled(self) -> Graph:
         """This graph with both tables written once, for operators that read them several times."""
-        return Graph(settle(self.nodes), settle(self.edges))
+        return Graph(settle(self.nodes, self.rows), settle(self.edges, self.rows), self.tables)
 
     def node(self, node_id: str) -> DataFrame:
         return self.nodes.filter(F.col("id") == node_id)
@@ -122,7 +132,7 @@ class Graph:
         It is read from the histogram of degrees, so no sort of all nodes is needed.
         `degrees` saves counting them again.
         """
-        histogram = (self.degrees() if degrees is None else degrees).groupBy("degree").agg(F.count("*").alias("c"))
+        histogram = (settle(self.degrees(), self.rows) if degrees is None else degrees).groupBy("degree").agg(F.count("*").alias("c"))
         lists = histogram.agg(F.array_sort(F.collect_list(F.struct("degree", "c"))).alias("h"), F.sum("c").alias("n"))
         at = F.least(F.floor(F.col("n") * HUB_PERCENT / 100), F.col("n") - 1)
         start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("d"))

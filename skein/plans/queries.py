@@ -148,7 +148,8 @@ def fact_view(spark, d):
 
 
 def degree(spark, d):
-    return star_graph(spark, d).degrees()
+    graph = star_graph(spark, d)
+    return settle(graph.degrees(), graph.rows)
 
 
 def hub_threshold(spark, d):

@@ -5,11 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of the input for each partition of a sized shuffle, and bytes of a file that one of its tasks reads at most.
+ROWS, SPLIT = 1 << 18, 8 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; only where it is unset on a single machine, a temporary folder of its own."""
@@ -30,11 +35,34 @@ def delete_on_exit(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
-def settle(frame: DataFrame) -> DataFrame:
-    """Writes a frame and reads it back: survives lost executors and keeps plans of loops short."""
+@contextmanager
+def sized(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside deals its shuffles over a partition for each ROWS of `rows`, so a task's memory does not grow with the input.
+
+    The session's number of partitions is fixed, and small ones are joined up to 64 MB of packed bytes, which
+    can be millions of rows. The session's settings are put back at the end; up to ROWS rows nothing is set.
+    """
+    wanted = {}
+    if rows > ROWS:
+        parts = max(-(-rows // ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        split = min(SPLIT, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+        wanted = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": str(split)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def settle(frame: DataFrame, rows: int = 0) -> DataFrame:
+    """Writes a frame and reads it back: survives lost executors and keeps plans of loops short. `rows` of its input size its shuffles."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    with sized(spark, rows):
+        frame.write.parquet(path)
     delete_on_exit(spark, path)
     return spark.read.schema(frame.schema).parquet(path)
 

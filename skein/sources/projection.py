@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from ..functions.scalars import canonical
+from ..functions.scalars import canonical, canonical_key
 from ..operators.graph import Graph
 
 
@@ -15,8 +16,13 @@ def _id(namespace: str, entity: str | Column) -> Column:
     return canonical(F.lit(namespace), (F.col(entity) if isinstance(entity, str) else entity).cast("string"))
 
 
+def _key_id(frame: DataFrame, namespace: str, key: str) -> Column:
+    """`_id` of a column of keys, which are whole numbers as a rule."""
+    return canonical_key(F.lit(namespace), F.col(key)) if isinstance(frame.schema[key].dataType, IntegralType) else _id(namespace, key)
+
+
 def _nodes(frame: DataFrame, kind: str, entity: str, label: Column) -> DataFrame:
-    return frame.select(_id(kind, entity).alias("id"), label.alias("label"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("source"))
+    return frame.select(_key_id(frame, kind, entity).alias("id"), label.alias("label"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("source"))
 
 
 def _edges(frame: DataFrame, source: Column, target: Column, relation: str, confidence: Column | int = 0) -> DataFrame:
@@ -44,20 +50,22 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
         _nodes(part, "part", "p_partkey", F.col("p_name")),
         _nodes(orders, "order", "o_orderkey", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))),
     ]
-    customers = customer.select("c_custkey", "c_name", "c_nationkey")
-    suppliers = supplier.select("s_suppkey", "s_name", "s_nationkey")
+    customers = customer.select("c_custkey", _id("customer", "c_name").alias("c_id"), "c_nationkey")  # an id a customer, not one an order
+    suppliers = supplier.select("s_suppkey", _id("supplier", "s_name").alias("s_id"), "s_nationkey")
     sold = lineitem.select("l_orderkey", "l_partkey").distinct()
     supplied = lineitem.groupBy("l_suppkey", "l_partkey").agg(F.min(quantity_tag(F.col("l_quantity"))).alias("tag"))
-    n, c, s = nation.select("n_nationkey", "n_name", "n_regionkey"), customers, suppliers
+    placed = orders.select("o_orderkey", "o_custkey").repartition("o_orderkey")  # a task of a scan can have millions of orders, whatever the split
+    n = nation.select("n_nationkey", _id("nation", "n_name").alias("n_id"), "n_regionkey")
+    c, s = customers, suppliers
     edges = [
-        _edges(n.join(region, n.n_regionkey == region.r_regionkey), _id("nation", "n_name"), _id("region", "r_name"), "in_region"),
-        _edges(c.join(n, c.c_nationkey == n.n_nationkey), _id("customer", "c_name"), _id("nation", "n_name"), "located_in"),
-        _edges(s.join(n, s.s_nationkey == n.n_nationkey), _id("supplier", "s_name"), _id("nation", "n_name"), "located_in"),
-        _edges(orders.select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == c.c_custkey), _id("customer", "c_name"), _id("order", "o_orderkey"), "placed"),
-        _edges(sold, _id("order", "l_orderkey"), _id("part", "l_partkey"), "contains"),
-        _edges(supplied.join(s, F.col("l_suppkey") == s.s_suppkey), _id("supplier", "s_name"), _id("part", "l_partkey"), "supplies", F.col("tag")),
+        _edges(n.join(region, n.n_regionkey == region.r_regionkey), F.col("n_id"), _id("region", "r_name"), "in_region"),
+        _edges(c.join(n, c.c_nationkey == n.n_nationkey), F.col("c_id"), F.col("n_id"), "located_in"),
+        _edges(s.join(n, s.s_nationkey == n.n_nationkey), F.col("s_id"), F.col("n_id"), "located_in"),
+        _edges(placed.join(c, F.col("o_custkey") == c.c_custkey), F.col("c_id"), _key_id(orders, "order", "o_orderkey"), "placed"),
+        _edges(sold, _key_id(sold, "order", "l_orderkey"), _key_id(sold, "part", "l_partkey"), "contains"),
+        _edges(supplied.join(s, F.col("l_suppkey") == s.s_suppkey), F.col("s_id"), _key_id(supplied, "part", "l_partkey"), "supplies", F.col("tag")),
     ]
-    return Graph(reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges).withColumn("seq", F.lit(0).cast("long")))
+    return Graph(reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges).withColumn("seq", F.lit(0).cast("long")), (customer, supplier, part, orders, lineitem))
 
 
 def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
