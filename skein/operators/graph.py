@@ -71,7 +71,8 @@ class Graph:
         """This graph, then the other one's nodes, then its edges; what is given here wins."""
         mine = self.nodes.withColumn("seq", F.lit(0))
         theirs = other.nodes.withColumn("seq", F.lit(1))
-        nodes = mine.unionByName(theirs).groupBy("id").agg(_first("label", F.col("label") != "").alias("label"), _first("kind", F.col("kind") != "").alias("kind"), _first("source", F.col("source").isNotNull()).alias("source"))
+        both = mine.unionByName(theirs).repartition("id")  # dealt first, as values of strings are gathered by sorting and a scan would sort all it reads
+        nodes = both.groupBy("id").agg(_first("label", F.col("label") != "").alias("label"), _first("kind", F.col("kind") != "").alias("kind"), _first("source", F.col("source").isNotNull()).alias("source"))
         nodes = nodes.select("id", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("kind", F.lit("")).alias("kind"), "source")
         ends = other.edges.select(F.explode(F.array("source", "target")).alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
         nodes = nodes.unionByName(ends.select("id", F.col("id").alias("label"), F.lit("").alias("kind"), F.lit(None).cast("string").alias("source")))

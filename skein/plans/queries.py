@@ -76,12 +76,12 @@ def _blanked(spark, d) -> Graph:
 
 def graph_merge(spark, d):
     merged = _blanked(spark, d).merge(star_graph(spark, d))
-    return merged.nodes.select("id", "label", "kind")
+    return settle(merged.nodes.select("id", "label", "kind"), merged.rows)
 
 
 def graph_merge_edges(spark, d):
     merged = _blanked(spark, d).merge(star_graph(spark, d))
-    return merged.edges.groupBy("relation").agg(F.count("*").alias("edges"), F.min("confidence").cast("int").alias("least"))
+    return settle(merged.edges.groupBy("relation").agg(F.count("*").alias("edges"), F.min("confidence").cast("int").alias("least")), merged.rows)
 
 
 def forget_node(spark, d):
