@@ -67,21 +67,23 @@ def propagate(graph: Graph, seed: Column, meet: str = "min", edge_filter: Column
     """(id, value): `seed` (of a node's columns) carried along admitted edges until nothing changes.
 
     Each pass folds the sources' values of the pass before into the targets by an
-    idempotent, commutative, associative `meet`, so only sources that changed in
-    that pass send theirs again; dangling edge ends are passed over. It stops
-    after n + 1 passes at the latest.
+    idempotent, commutative, associative `meet`, so equal links do no harm, and only
+    sources that changed in that pass send theirs again; dangling edge ends are
+    passed over. It stops when no node with a link of its own changed, or after
+    n + 1 passes.
     """
     gather, join = MEETS[meet]
-    values = settle(graph.nodes.select("id", seed.alias("value")))
     admitted = graph.edges if edge_filter is None else graph.edges.filter(edge_filter)
-    links = settle(admitted.select("source", "target").distinct())
+    links = settle(admitted.select("source", "target"), graph.rows)
+    senders = links.select(F.col("source").alias("id")).distinct().withColumn("sends", F.lit(True))
+    values = settle(graph.nodes.select("id", seed.alias("value")).join(senders, "id", "left").withColumn("sends", F.col("sends").isNotNull()), graph.rows)
     passes = most_passes if most_passes is not None else values.count() + 1
-    changed = values
+    changed = values.filter("sends")
     for _ in range(passes):
-        sent = links.join(changed.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(gather("value").alias("arriving"))
+        sent = links.join(changed.select(F.col("id").alias("source"), "value"), "source").groupBy(F.col("target").alias("id")).agg(gather("value").alias("arriving"))
         after = values.join(sent, "id", "left").withColumn("next", F.when(F.col("arriving").isNull(), F.col("value")).otherwise(join(F.col("value"), F.col("arriving"))))
-        after = settle(after.select("id", F.col("next").alias("value"), (~F.col("next").eqNullSafe(F.col("value"))).alias("changed")))
-        values, changed = after.select("id", "value"), after.filter("changed").select("id", "value")
+        after = settle(after.select("id", F.col("next").alias("value"), "sends", (F.col("sends") & ~F.col("next").eqNullSafe(F.col("value"))).alias("changed")), graph.rows)
+        values, changed = after.drop("changed"), after.filter("changed")
         if changed.isEmpty():
             break
-    return values
+    return values.select("id", "value")

@@ -52,7 +52,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     ]
     customers = customer.select("c_custkey", _id("customer", "c_name").alias("c_id"), "c_nationkey")  # an id a customer, not one an order
     suppliers = supplier.select("s_suppkey", _id("supplier", "s_name").alias("s_id"), "s_nationkey")
-    sold = lineitem.select("l_orderkey", "l_partkey").distinct()
+    sold = lineitem.select("l_orderkey", "l_partkey").repartition("l_orderkey").distinct()  # an order's lines are few and stay together: its ids are counted in one task and pack well
     supplied = lineitem.groupBy("l_suppkey", "l_partkey").agg(F.min(quantity_tag(F.col("l_quantity"))).alias("tag"))
     placed = orders.select("o_orderkey", "o_custkey").repartition("o_orderkey")  # a task of a scan can have millions of orders, whatever the split
     n = nation.select("n_nationkey", _id("nation", "n_name").alias("n_id"), "n_regionkey")
