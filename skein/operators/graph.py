@@ -26,11 +26,13 @@ class Graph:
     """nodes (id, label, kind, source) and edges (source, target, relation, confidence, seq).
 
     `tables` are those it is made of; their rows size the shuffles of what is written.
+    `written` says that both are read from files, not made again each time.
     """
 
     nodes: DataFrame
     edges: DataFrame
     tables: tuple[DataFrame, ...] = ()
+    written: bool = False
 
     @cached_property
     def rows(self) -> int:
@@ -88,7 +90,7 @@ class Graph:
 
     def settled(self) -> Graph:
         """This graph with both tables written once, for operators that read them several times."""
-        return Graph(settle(self.nodes, self.rows), settle(self.edges, self.rows), self.tables)
+        return Graph(settle(self.nodes, self.rows), settle(self.edges, self.rows), self.tables, True)
 
     def node(self, node_id: str) -> DataFrame:
         return self.nodes.filter(F.col("id") == node_id)

@@ -84,9 +84,9 @@ def rendered(all_lines: DataFrame, budget: int) -> DataFrame:
 
 def answer_lines(graph: Graph, question: str, depth: int = 3, budget: int = 4000) -> DataFrame:
     """(at, line) of the answer to a question; no rows if no label matches."""
-    degrees = settle(graph.degrees())
+    degrees = settle(graph.degrees(), graph.rows)
     hub = graph.hub_threshold(degrees).first().hub_threshold
-    return rendered(settle(lines(graph, reach(graph, seeds(graph, question), depth, degrees, hub))), budget)
+    return rendered(settle(lines(graph, reach(graph, seeds(graph, question), depth, degrees, hub)), graph.rows), budget)
 
 
 def answer(graph: Graph, question: str, depth: int = 3, budget: int = 4000) -> DataFrame:

@@ -19,20 +19,24 @@ def reach(graph: Graph, seeds: DataFrame, depth: int, degrees: DataFrame | None
     """(id, depth, path): what is reached from seeds (id, rank) within `depth` steps along edges.
 
     Nodes whose degree is above `hub` are reached but not passed through. path
-    orders the nodes of one depth as a queue would have found them.
+    orders the nodes of one depth as a queue would have found them. A level joins its
+    nodes, which are few as a rule, to the written edges: these are not dealt then,
+    and equal steps do no harm, as a node keeps its least path.
     """
     step = graph.edges.select(F.col("source").alias("id"), F.col("target"))
     if degrees is None and hub is not None:
-        degrees = settle(graph.degrees())
-    if hub is not None:
-        step = step.join(degrees.filter(F.col("degree") <= hub).select("id"), "id", "left_semi")
-    step = settle(step.distinct())  # read once a level, instead of the graph's own plan
+        degrees = settle(graph.degrees(), graph.rows)
+    if not graph.written:
+        step = settle(step, graph.rows)  # read once a level, instead of the graph's own plan
     known = settle(seeds.select("id", F.lit(0).alias("depth"), F.array(F.format_string("%010d", F.col("rank").cast("long"))).alias("path")))
     front, known = known, Grown(known)
     for d in range(1, depth + 1):
-        found = front.select("id", "path").join(step, "id").groupBy("target").agg(F.min("path").alias("path"))
+        passed = front.select("id", "path")
+        if hub is not None:
+            passed = settle(passed.join(degrees.filter(F.col("degree") <= hub).select("id"), "id"), graph.rows)
+        found = passed.join(step, "id").groupBy("target").agg(F.min("path").alias("path"))
         fresh = found.withColumnRenamed("target", "id").join(known.frame().select("id"), "id", "left_anti")
-        front = settle(fresh.select("id", F.lit(d).alias("depth"), F.concat("path", F.array("id")).alias("path")))
+        front = settle(fresh.select("id", F.lit(d).alias("depth"), F.concat("path", F.array("id")).alias("path")), graph.rows)
         if front.isEmpty():
             break
         known.add(front)

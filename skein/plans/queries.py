@@ -166,7 +166,7 @@ def seed_topk(spark, d):
 
 def bfs_reach(spark, d):
     graph = star_graph(spark, d).settled()
-    degrees = settle(graph.degrees())
+    degrees = settle(graph.degrees(), graph.rows)
     hub = graph.hub_threshold(degrees).first().hub_threshold
     return traverse.reach(graph, R.seeds(graph, WIDE), WIDE_DEPTH, degrees, hub).select("id", F.col("depth").cast("int").alias("depth"))
 
